@@ -1,0 +1,307 @@
+"""Worksheets of XLSX workbooks as text tables, one task per workbook.
+
+A folder of workbooks with one common header becomes one table. Cells are rendered to text and
+formulas keep their text; nothing is evaluated.
+"""
+
+from __future__ import annotations
+
+import datetime
+import io
+import posixpath
+import re
+import zipfile
+from collections.abc import Iterator, Mapping, Sequence
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.selection import unique_names
+from ..table import ROW_ID, Table, physical, positional_table
+
+BATCH_ROWS = 10_000
+
+# Number formats that Excel defines itself and that show dates or times.
+BUILTIN_DATE_FORMATS = (*range(14, 23), 45, 46, 47)
+BUILTIN_DURATION_FORMAT = 46
+WINDOWS_EPOCH = datetime.datetime(1899, 12, 30)
+MAC_EPOCH = datetime.datetime(1904, 1, 1)
+
+CELL_REFERENCE = re.compile(r'("[^"]*"|\'[^\']*\')|(?<![\w.])(\$?)([A-Z]{1,3})(\$?)([0-9]+)(?![\w(])')
+FORMAT_LITERALS = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!hh?\]|mm?\]|ss?\])[^\]]*\]', re.IGNORECASE)
+
+
+class WorkbookError(ValueError):
+    """The workbook or the chosen worksheet cannot be read."""
+
+
+def list_worksheets(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The worksheets of every workbook in workbook order."""
+
+    def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
+                names = list(_Workbook(file, content).sheets)
+                yield pd.DataFrame({"file": file, "sheet_index": range(len(names)), "sheet": names})
+
+    return _files(spark, path).mapInPandas(sheets, "file string, sheet_index int, sheet string")
+
+
+def read_workbooks(
+    spark: SparkSession,
+    path: str | list[str],
+    sheet: str,
+    missing_markers: Mapping[str, Sequence[str]] | None = None,
+) -> Table:
+    """Read the named worksheet of every workbook. The first row with values is the header."""
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
+                _, header = next(_records(_Workbook(file, content), sheet))
+                yield pd.DataFrame({"header": [header]})
+
+    found = _files(spark, path).mapInPandas(headers, "header array<string>").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise WorkbookError("There is no workbook." if not found else "The headers differ.")
+    names = unique_names(found[0]["header"])
+    columns = [physical(i) for i in range(len(names))]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
+                yield from _frames(file, _records(_Workbook(file, content), sheet), columns)
+
+    schema = f"file string, line bigint, {', '.join(f'{name} string' for name in columns)}"
+    cells = [F.when(F.col(name) != "", F.col(name)).alias(name) for name in columns]
+    row_id = F.struct("file", F.lit(0).cast("long").alias("block"), "line").alias(ROW_ID)
+    parsed = _files(spark, path).mapInPandas(rows, schema).select(row_id, *cells)
+    return positional_table(parsed, names, missing_markers)
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _frames(file: str, records: Iterator, columns: list[str]) -> Iterator[pd.DataFrame]:
+    next(records)
+    lines, cells = [], []
+    for line, record in records:
+        lines.append(line)
+        cells.append(record)
+        if len(lines) == BATCH_ROWS:
+            yield _frame(file, lines, cells, columns)
+            lines, cells = [], []
+    yield _frame(file, lines, cells, columns)
+
+
+def _frame(file: str, lines: list[int], cells: list[list[str]], columns: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(cells, columns=columns, dtype=object)
+    frame.insert(0, "file", file)
+    frame.insert(1, "line", lines)
+    return frame
+
+
+def _records(workbook: _Workbook, sheet: str) -> Iterator[tuple[int, list[str]]]:
+    """The header first, then every row as text of the same width.
+
+    Blank rows are no rows, except in a one-column sheet, where each is a missing value.
+    """
+    width, expected = None, 0
+    for line, cells in workbook.rows(sheet):
+        if width is None:
+            if not cells:
+                continue
+            width = max(*cells, workbook.declared_width) if workbook.declared_width else max(cells)
+        elif width == 1:
+            # Rows that the file leaves out are blank rows too.
+            yield from ((gap, [""]) for gap in range(expected, line))
+        expected = line + 1
+        if not cells and width > 1:
+            continue
+        if cells and max(cells) > width:
+            raise WorkbookError(f"{workbook.file}: row {line} is wider than the header.")
+        yield line, [cells.get(column, "") for column in range(1, width + 1)]
+    if width is None:
+        raise WorkbookError(f"{workbook.file}: the worksheet {sheet!r} is empty.")
+
+
+def _tag(element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _column_number(letters: str) -> int:
+    number = 0
+    for letter in letters:
+        number = number * 26 + ord(letter) - 64
+    return number
+
+
+def _column_letters(number: int) -> str:
+    letters = ""
+    while number:
+        number, rest = divmod(number - 1, 26)
+        letters = chr(65 + rest) + letters
+    return letters
+
+
+def shift_formula(formula: str, rows: int, columns: int) -> str:
+    """Move the relative references of a shared formula, outside of quoted text."""
+
+    def move(match: re.Match) -> str:
+        quoted, column_fix, column, row_fix, row = match.groups()
+        if quoted:
+            return quoted
+        if not column_fix:
+            column = _column_letters(_column_number(column) + columns)
+        if not row_fix:
+            row = str(int(row) + rows)
+        return f"{column_fix}{column}{row_fix}{row}"
+
+    return CELL_REFERENCE.sub(move, formula)
+
+
+def date_text(serial: float, epoch: datetime.datetime, duration: bool) -> str:
+    """The text of an Excel date serial: a duration, a time of day, or a date with time."""
+    days, fraction = divmod(serial, 1)
+    part = datetime.timedelta(milliseconds=round(fraction * 86_400_000))
+    if duration:
+        return str(datetime.timedelta(days=days) + part)
+    if 0 <= serial < 1 and part.days == 0:
+        return (datetime.datetime.min + part).time().isoformat()
+    if 0 < serial < 60 and epoch == WINDOWS_EPOCH:
+        days += 1  # Excel counts a 29 February 1900
+    return (epoch + datetime.timedelta(days=days) + part).isoformat(sep=" ")
+
+
+class _Workbook:
+    """The parts of one XLSX file that are needed to read cell texts."""
+
+    def __init__(self, file: str, content: bytes) -> None:
+        self.file = file
+        self.declared_width = 0
+        try:
+            self.archive = zipfile.ZipFile(io.BytesIO(content))
+            book = self._xml("xl/workbook.xml")
+            links = self._xml("xl/_rels/workbook.xml.rels")
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
+            raise WorkbookError(f"{file}: not an XLSX workbook.") from error
+        targets = {link.get("Id"): link.get("Target") for link in links}
+        self.sheets: dict[str, str] = {}
+        self.epoch = WINDOWS_EPOCH
+        for element in book.iter():
+            if _tag(element) == "sheet":
+                link = next(value for key, value in element.items() if key.endswith("}id"))
+                self.sheets[element.get("name")] = posixpath.normpath(
+                    posixpath.join("/xl", targets[link])
+                ).lstrip("/")
+            elif _tag(element) == "workbookPr" and element.get("date1904") in ("1", "true"):
+                self.epoch = MAC_EPOCH
+        if not self.sheets:
+            raise WorkbookError(f"{file}: the workbook has no worksheets.")
+
+    def _xml(self, name: str):
+        return ElementTree.fromstring(self.archive.read(name))
+
+    def _optional_xml(self, name: str):
+        return self._xml(name) if name in self.archive.namelist() else ()
+
+    def _shared_texts(self) -> list[str]:
+        return [_rich_text(item) for item in self._optional_xml("xl/sharedStrings.xml")]
+
+    def _date_styles(self) -> dict[int, bool]:
+        """Cell styles that show dates or times; True for durations."""
+        formats, styles = {}, []
+        for part in self._optional_xml("xl/styles.xml"):
+            if _tag(part) == "numFmts":
+                formats = {int(item.get("numFmtId")): item.get("formatCode") for item in part}
+            elif _tag(part) == "cellXfs":
+                styles = [int(item.get("numFmtId", 0)) for item in part]
+        return {
+            position: duration
+            for position, number in enumerate(styles)
+            if (duration := _shows_time(number, formats.get(number))) is not None
+        }
+
+    def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, str]]]:
+        """Row number and the texts of its cells by column number."""
+        if sheet not in self.sheets:
+            known = ", ".join(self.sheets)
+            raise WorkbookError(f"{self.file}: no worksheet {sheet!r}; there are: {known}.")
+        shared_texts, date_styles = self._shared_texts(), self._date_styles()
+        formulas: dict[str, tuple[str, int, int]] = {}
+        line = 0
+        with self.archive.open(self.sheets[sheet]) as part:
+            for _, element in ElementTree.iterparse(part):
+                if _tag(element) == "dimension":
+                    last = re.search(r":([A-Z]+)[0-9]+\Z", element.get("ref", ""))
+                    self.declared_width = _column_number(last[1]) if last else 0
+                if _tag(element) != "row":
+                    continue
+                line = int(element.get("r", line + 1))
+                cells, column = {}, 0
+                for cell in element:
+                    reference = re.match("[A-Z]+", cell.get("r", ""))
+                    column = _column_number(reference[0]) if reference else column + 1
+                    text = self._cell_text(cell, line, column, shared_texts, date_styles, formulas)
+                    if text is not None:
+                        cells[column] = text
+                element.clear()
+                yield line, cells
+
+    def _cell_text(self, cell, line, column, shared_texts, date_styles, formulas) -> str | None:
+        kind, style = cell.get("t", "n"), int(cell.get("s", 0))
+        parts = {_tag(part): part for part in cell}
+        if "f" in parts:
+            return _formula_text(parts["f"], line, column, formulas)
+        if kind == "inlineStr":
+            return _rich_text(parts["is"]) if "is" in parts else None
+        value = parts["v"].text if "v" in parts else None
+        if value is None:
+            return None
+        if kind == "s":
+            return shared_texts[int(value)]
+        if kind == "b":
+            return "TRUE" if int(value) else "FALSE"
+        if kind == "d":
+            return datetime.datetime.fromisoformat(value).isoformat(sep=" ")
+        if kind != "n":
+            return value
+        number = float(value) if any(mark in value for mark in ".eE") else int(value)
+        if style in date_styles:
+            return date_text(number, self.epoch, date_styles[style])
+        return str(number)
+
+
+def _rich_text(item) -> str:
+    texts = []
+    for part in item:
+        if _tag(part) == "t":
+            texts.append(part.text or "")
+        elif _tag(part) == "r":
+            texts.extend(run.text or "" for run in part if _tag(run) == "t")
+    return "".join(texts)
+
+
+def _formula_text(formula, line: int, column: int, formulas: dict) -> str:
+    text, shared = formula.text, formula.get("si")
+    if formula.get("t") == "shared" and shared is not None:
+        if text:
+            formulas[shared] = (text, line, column)
+        elif shared in formulas:
+            first, first_line, first_column = formulas[shared]
+            text = shift_formula(first, line - first_line, column - first_column)
+    return f"={text or ''}"
+
+
+def _shows_time(number: int, code: str | None) -> bool | None:
+    """None for a plain number format, else whether the format shows a duration."""
+    if code is None:
+        return number == BUILTIN_DURATION_FORMAT if number in BUILTIN_DATE_FORMATS else None
+    # Only the first section counts; literal text, colours and conditions say nothing.
+    shown = FORMAT_LITERALS.sub("", code.split(";")[0])
+    if not re.search("[dmhys]", shown, re.IGNORECASE):
+        return None
+    return bool(re.match(r"\[(hh?|mm?|ss?)\]", shown, re.IGNORECASE))
