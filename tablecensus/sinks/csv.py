@@ -77,11 +77,36 @@ def _header_line(names: Sequence[str], bom: bool) -> str:
     return (BOM if bom else "") + line
 
 
-def write_csv(df: DataFrame, path: str, bom: bool = False, mode: str = "errorifexists") -> None:
-    """Write a DataFrame in the order it has. Fails on an existing path unless ``mode`` says else."""
-    header = df.sparkSession.range(1).select(F.lit(_header_line(df.columns, bom)).alias("line"))
-    # Union keeps the order of its sides, so the header gets the first file.
-    header.unionAll(csv_lines(df)).write.mode(mode).text(path, lineSep=LINE_END)
+def write_csv(
+    df: DataFrame,
+    path: str,
+    bom: bool = False,
+    one_document: bool = True,
+    mode: str = "errorifexists",
+) -> None:
+    """Write a DataFrame in the order it has. Fails on an existing path unless ``mode`` says else.
+
+    With ``one_document=False`` every file has its own header and no byte order mark, which suits
+    readers that take the files apart.
+    """
+    header = _header_line(df.columns, bom and one_document)
+    lines = csv_lines(df)
+    if one_document:
+        first = df.sparkSession.range(1).select(F.lit(header).alias("line"))
+        # Union keeps the order of its sides, so the header gets the first file.
+        first.unionAll(lines).write.mode(mode).text(path, lineSep=LINE_END)
+    else:
+        # The lines are finished text; the CSV writer only repeats its header, the column name.
+        lines.toDF(header).write.mode(mode).csv(
+            path,
+            header=True,
+            sep="\x00",
+            quote="\x00",
+            escape="\x00",
+            lineSep=LINE_END,
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
 
 
 def write_rows(
@@ -89,13 +114,17 @@ def write_rows(
     path: str,
     analysed: Sequence[str] = (),
     column_mode: str = "all",
+    one_document: bool = True,
     mode: str = "errorifexists",
 ) -> None:
-    """Write source rows in source order (or as they come, without one), with a byte order mark."""
+    """Write source rows in source order (or as they come, without one).
+
+    As one document they start with a byte order mark.
+    """
     df = source.df.orderBy(*source.order_columns()) if source.order else source.df
     columns = project_columns(source.names, analysed, column_mode)
     texts = df.select(*[source.text(name) for name in columns]).toDF(*columns)
-    write_csv(texts, path, bom=True, mode=mode)
+    write_csv(texts, path, bom=True, one_document=one_document, mode=mode)
 
 
 def completeness_export(completeness: DataFrame) -> DataFrame:
