@@ -52,19 +52,24 @@ def _record(fields: list[Column]) -> Column:
     return F.concat_ws(",", *fields)
 
 
-def csv_lines(df: DataFrame) -> DataFrame:
-    """One ``line`` per row; text is made inert, doubles are written at full precision."""
-    positional, _ = by_position(df)
-    fields = []
+def _cells(positional: DataFrame) -> list[Column]:
+    """The cells as written: inert text, and doubles at full precision."""
+    cells = []
     for field in positional.schema.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, T.StringType):
-            fields.append(_field(inert_text(column)))
+            cells.append(inert_text(column))
         elif isinstance(field.dataType, T.DoubleType):
-            fields.append(_field(share_text(column)))
+            cells.append(share_text(column))
         else:
-            fields.append(_field(column.cast("string")))
-    return positional.select(_record(fields).alias("line"))
+            cells.append(column.cast("string"))
+    return cells
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """One finished CSV ``line`` per row."""
+    positional, _ = by_position(df)
+    return positional.select(_record([_field(cell) for cell in _cells(positional)]).alias("line"))
 
 
 def _header_line(names: Sequence[str], bom: bool) -> str:
@@ -89,24 +94,26 @@ def write_csv(
     With ``one_document=False`` every file has its own header and no byte order mark, which suits
     readers that take the files apart.
     """
-    header = _header_line(df.columns, bom and one_document)
-    lines = csv_lines(df)
     if one_document:
-        first = df.sparkSession.range(1).select(F.lit(header).alias("line"))
+        header = F.lit(_header_line(df.columns, bom)).alias("line")
+        first = df.sparkSession.range(1).select(header)
         # Union keeps the order of its sides, so the header gets the first file.
-        first.unionAll(lines).write.mode(mode).text(path, lineSep=LINE_END)
-    else:
-        # The lines are finished text; the CSV writer only repeats its header, the column name.
-        lines.toDF(header).write.mode(mode).csv(
-            path,
-            header=True,
-            sep="\x00",
-            quote="\x00",
-            escape="\x00",
-            lineSep=LINE_END,
-            ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-        )
+        first.unionAll(csv_lines(df)).write.mode(mode).text(path, lineSep=LINE_END)
+        return
+    # Spark would turn line breaks inside cells into the line end of the file, hence plain "\n".
+    empty = "" if len(df.columns) > 1 else '""'
+    positional, names = by_position(df)
+    named = positional.select(*_cells(positional)).toDF(*map(inert_name, names))
+    named.write.mode(mode).csv(
+        path,
+        header=True,
+        escape='"',
+        lineSep="\n",
+        nullValue=empty,
+        emptyValue=empty,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_rows(

@@ -102,15 +102,20 @@ def _check_lines(spark: SparkSession, path: str | list[str], width: int) -> Row:
     value = F.col("value")
     odd = value.contains('"') & F.regexp_replace(value, QUOTED_FIELD, "").contains('"')
     blank = (value != "") & value.rlike(r"\A[\x00-\x20]+\z")
+    # With one column a comma outside of quotes is already a row that is too wide.
+    wide = F.regexp_replace(value, QUOTED_FIELD, "").contains(",")
     facts = spark.read.text(path).agg(
         F.count_if(odd).alias("odd_lines"),
         F.count_if(blank).alias("blank_lines"),
         F.count_if(~F.is_valid_utf8(value)).alias("undecodable_lines"),
+        (F.count_if(wide) if width == 1 else F.lit(0)).alias("wide_lines"),
     ).head()
     if facts["undecodable_lines"]:
         raise CsvFileError("The file is not valid UTF-8.")
     if width > 1 and facts["blank_lines"] and not facts["odd_lines"]:
         raise CsvFileError("A line holds only whitespace where several cells are expected.")
+    if facts["wide_lines"] and not facts["odd_lines"]:
+        raise CsvFileError("A row is wider than the header.")
     return facts
 
 
@@ -160,13 +165,7 @@ def _read_single_column(spark: SparkSession, path: str | list[str]) -> DataFrame
     lines = _text_lines(spark, path)
     value = F.col("value")
     inner = F.substring(value, F.lit(2), F.length(value) - F.lit(2))
-    cell = (
-        F.when(value.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"')))
-        .when(value.contains(","), F.raise_error(F.lit("A row is wider than the header.")))
-        .otherwise(value)
-    )
-    wide = value.startswith('"') & (F.regexp_replace(value, QUOTED_FIELD, "") != "")
-    cell = F.when(wide, F.raise_error(F.lit("A row is wider than the header."))).otherwise(cell)
+    cell = F.when(value.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(value)
     # One header per file.
     rows = lines.join(_header_ids(lines), _is_header(), "left_anti")
     return rows.select(ROW_ID, cell.alias(physical(0)))
