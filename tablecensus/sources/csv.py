@@ -62,7 +62,7 @@ def read_csv(
     elif len(names) == 1 and one_line_records:
         rows = _read_single_column(spark, path)
     else:
-        rows = _read_with_spark(spark, path, len(names), multi_line=not one_line_records)
+        rows = _read_with_spark(spark, path, len(names), checked=one_line_records)
     columns = [physical(i) for i in range(len(names))]
     cells = [F.when(F.col(name) != "", F.col(name)).alias(name) for name in columns]
     return positional_table(rows.select(ROW_ID, *cells), names, missing_markers)
@@ -99,23 +99,27 @@ def _read_header(spark: SparkSession, file: str) -> list[str]:
 
 
 def _check_lines(spark: SparkSession, path: str | list[str], width: int) -> Row:
+    """One pass over the raw lines: encoding, quoting, and the number of cells.
+
+    Because every row is checked here, later scans may skip the columns they do not need.
+    """
     value = F.col("value")
-    odd = value.contains('"') & F.regexp_replace(value, QUOTED_FIELD, "").contains('"')
-    blank = (value != "") & value.rlike(r"\A[\x00-\x20]+\z")
-    # With one column a comma outside of quotes is already a row that is too wide.
-    wide = F.regexp_replace(value, QUOTED_FIELD, "").contains(",")
-    facts = spark.read.text(path).agg(
-        F.count_if(odd).alias("odd_lines"),
-        F.count_if(blank).alias("blank_lines"),
-        F.count_if(~F.is_valid_utf8(value)).alias("undecodable_lines"),
-        (F.count_if(wide) if width == 1 else F.lit(0)).alias("wide_lines"),
-    ).head()
+    rest = F.when(value.contains('"'), F.regexp_replace(value, QUOTED_FIELD, "")).otherwise(value)
+    commas = F.octet_length("rest") - F.octet_length(F.replace("rest", F.lit(","), F.lit("")))
+    facts = (
+        spark.read.text(path)
+        .select("value", rest.alias("rest"))
+        .agg(
+            F.count_if(F.col("rest").contains('"')).alias("odd_lines"),
+            F.count_if((value != "") & (commas != width - 1)).alias("ragged_lines"),
+            F.count_if(~F.is_valid_utf8(value)).alias("undecodable_lines"),
+        )
+        .head()
+    )
     if facts["undecodable_lines"]:
         raise CsvFileError("The file is not valid UTF-8.")
-    if width > 1 and facts["blank_lines"] and not facts["odd_lines"]:
-        raise CsvFileError("A line holds only whitespace where several cells are expected.")
-    if facts["wide_lines"] and not facts["odd_lines"]:
-        raise CsvFileError("A row is wider than the header.")
+    if facts["ragged_lines"] and not facts["odd_lines"]:
+        raise CsvFileError("The rows of the file do not all have as many cells as the header.")
     return facts
 
 
@@ -145,7 +149,7 @@ def _check_headers(spark: SparkSession, path: str | list[str]) -> None:
 
 
 def _read_with_spark(
-    spark: SparkSession, path: str | list[str], width: int, multi_line: bool
+    spark: SparkSession, path: str | list[str], width: int, checked: bool
 ) -> DataFrame:
     schema = ", ".join(f"{physical(i)} string" for i in range(width))
     return spark.read.csv(
@@ -154,7 +158,9 @@ def _read_with_spark(
         header=True,
         enforceSchema=True,
         escape='"',
-        multiLine=multi_line,
+        multiLine=not checked,
+        # Spark only counts the cells of a row when it parses all of them.
+        columnPruning=checked,
         mode="FAILFAST",
         maxColumns=max(20_480, width + 1),
     ).select(file_line_id().alias(ROW_ID), "*")
