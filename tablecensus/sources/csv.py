@@ -152,15 +152,14 @@ def _read_with_spark(
     spark: SparkSession, path: str | list[str], width: int, checked: bool
 ) -> DataFrame:
     schema = ", ".join(f"{physical(i)} string" for i in range(width))
-    return spark.read.csv(
+    # Spark only counts the cells of a row when it parses all of them.
+    return spark.read.option("columnPruning", checked).csv(
         path,
         schema=schema,
         header=True,
         enforceSchema=True,
         escape='"',
         multiLine=not checked,
-        # Spark only counts the cells of a row when it parses all of them.
-        columnPruning=checked,
         mode="FAILFAST",
         maxColumns=max(20_480, width + 1),
     ).select(file_line_id().alias(ROW_ID), "*")
