@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import casefold_towards, is_blank, strip
+from .text import fold_towards, is_blank, starts_visibly, strip
 
 PRESENT = "present"
 MISSING = "missing"
@@ -31,15 +32,17 @@ def is_missing(text: Column, markers: frozenset[str] = frozenset(), may_be_blank
         missing = missing | is_blank(text)
     wanted = sorted(markers - {""})
     if wanted:
-        trimmed = strip(text)
-        # Folding never shortens text, so a value longer than every marker is not one of them.
-        # The byte length is free to read; four bytes hold any character.
-        longest = 4 * max(map(len, wanted))
-        missing = missing | (
-            (F.octet_length(trimmed) <= longest) & casefold_towards(trimmed, wanted).isin(wanted)
-        )
+        # Trimming stands here once only: Spark computes what appears twice for every row in
+        # advance, also when the first condition already settles it.
+        missing = missing | (_may_be_marker(text, wanted) & fold_towards(strip(text), wanted).isin(wanted))
     return missing
 
 
+def _may_be_marker(text: Column, wanted: list[str]) -> Column:
+    """A value that starts with visible ASCII has to start like a marker."""
+    letters = sorted({case for marker in wanted for case in (marker[0], marker[0].upper()) if case.isascii()})
+    return reduce(Column.__or__, [text.startswith(letter) for letter in letters], ~starts_visibly(text))
+
+
 def status(missing: Column) -> Column:
     return F.when(missing, F.lit(MISSING)).otherwise(F.lit(PRESENT))

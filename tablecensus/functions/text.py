@@ -35,9 +35,16 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(whitespace()))
 
 
+def starts_visibly(text: Column) -> Column:
+    """Is the first character a visible ASCII one? Strings compare by bytes, so this is cheap."""
+    return (text >= F.lit("!")) & (text < F.lit("\x7f"))
+
+
 def is_blank(text: Column) -> Column:
-    # Trimming one side is enough here and stops at the first visible character.
-    return F.ltrim(text, F.lit(whitespace())) == F.lit("")
+    # Trimming one side is enough, and most values are settled by their first byte.
+    return F.when(starts_visibly(text), F.lit(False)).otherwise(
+        F.ltrim(text, F.lit(whitespace())) == F.lit("")
+    )
 
 
 def is_ascii(text: Column) -> Column:
@@ -59,8 +66,8 @@ def casefold(text: Column) -> Column:
     )
 
 
-def casefold_towards(text: Column, targets: list[str]) -> Column:
-    """Case folding that is exact for comparisons against the given folded texts.
+def fold_towards(text: Column, targets: list[str]) -> Column:
+    """Case folding that is exact for comparisons with the given folded texts.
 
     Only characters whose folding shares a character with a target can change the outcome of an
     equality or substring test, so the expression stays small and inside generated code.
@@ -68,19 +75,17 @@ def casefold_towards(text: Column, targets: list[str]) -> Column:
     wanted = set("".join(targets))
     single, growing = fold_tables()
     pairs = {c: f for c, f in single.items() if f in wanted}
-    folded = text
-    if pairs:
-        folded = F.translate(folded, "".join(pairs), "".join(pairs.values()))
+    folded = F.translate(text, "".join(pairs), "".join(pairs.values())) if pairs else text
     for character, expansion in growing.items():
         if wanted & set(expansion):
             folded = F.replace(folded, F.lit(character), F.lit(expansion))
-    return F.when(is_ascii(text), F.lower(text)).otherwise(folded)
+    return folded
 
 
 def contains_casefolded(text: Column, needle: str) -> Column:
     folded_needle = needle.casefold()
-    found = casefold_towards(text, [folded_needle]).contains(F.lit(folded_needle))
-    return text.isNotNull() & found
+    folded = F.when(is_ascii(text), F.lower(text)).otherwise(fold_towards(text, [folded_needle]))
+    return text.isNotNull() & folded.contains(F.lit(folded_needle))
 
 
 def title(text: Column) -> Column:
@@ -101,6 +106,11 @@ def structural_format(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.array_join(widths, ""))
 
 
+def format_skeleton(text: Column) -> Column:
+    """The text with every ASCII digit as 0: equal for two texts exactly when their formats are."""
+    return F.translate(text, "123456789", "0" * 9)
+
+
 def shorten(text: Column, limit: int = 256) -> Column:
     cut = F.concat(F.substring(text, 1, limit), F.lit(ELLIPSIS))
     return F.when(F.length(text) > limit, cut).otherwise(text)

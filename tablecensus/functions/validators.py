@@ -8,26 +8,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import strip, whitespace
 
-INTEGER = r"\A[+-]?[0-9]+\z"
-NUMBER = r"\A[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-DATETIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
+# Surrounding whitespace is part of the pattern, so only values of the right shape get trimmed.
+BLANKS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in whitespace()) + "]*+"
+INTEGER = r"[+-]?[0-9]+"
+NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+HUGE_EXPONENT = r"[^eE]*[eE][+-]?0*[1-9][0-9]{17,}"
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+DATETIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}"
 
 # The exponent range of the decimal arithmetic whose acceptance is matched.
 LARGEST_EXPONENT = 999999999999999999
 SMALLEST_EXPONENT = -1999999999999999997
 
 
+def _has_shape(text: Column, shape: str) -> Column:
+    return text.rlike(rf"\A{BLANKS}(?:{shape}){BLANKS}\z")
+
+
 def is_integer(text: Column) -> Column:
-    return strip(text).rlike(INTEGER)
+    return _has_shape(text, INTEGER)
 
 
 def is_number(text: Column) -> Column:
-    trimmed = strip(text)
-    huge = trimmed.rlike(r"[eE][+-]?0*[1-9][0-9]{17,}\z")
-    return trimmed.rlike(NUMBER) & (~huge | _exponent_in_range(trimmed))
+    return (
+        F.when(~_has_shape(text, NUMBER), F.lit(False))
+        .when(_has_shape(text, HUGE_EXPONENT), _exponent_in_range(strip(text)))
+        .otherwise(F.lit(True))
+    )
 
 
 def _exponent_in_range(trimmed: Column) -> Column:
@@ -45,15 +54,17 @@ def _exponent_in_range(trimmed: Column) -> Column:
     )
 
 
-def is_date(text: Column) -> Column:
+def _is_calendar(text: Column, shape: str, spark_type: str) -> Column:
     trimmed = strip(text)
-    return trimmed.rlike(DATE) & ~trimmed.startswith("0000") & trimmed.try_cast("date").isNotNull()
+    # There is no year 0.
+    real = ~trimmed.startswith("0000") & trimmed.try_cast(spark_type).isNotNull()
+    return F.when(_has_shape(text, shape), real).otherwise(F.lit(False))
+
+
+def is_date(text: Column) -> Column:
+    return _is_calendar(text, DATE, "date")
 
 
 def is_datetime(text: Column) -> Column:
-    trimmed = strip(text)
-    return (
-        trimmed.rlike(DATETIME)
-        & ~trimmed.startswith("0000")
-        & trimmed.try_cast("timestamp_ntz").isNotNull()
-    )
+    # Without a time zone no hour of the calendar is left out.
+    return _is_calendar(text, DATETIME, "timestamp_ntz")

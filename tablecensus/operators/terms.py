@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import structural_format
+from ..functions.text import format_skeleton, structural_format
 from ..plans.selection import choose_columns
 from ..table import Table
 from .shares import share_of
@@ -60,14 +60,17 @@ def structural_formats(
 ) -> DataFrame:
     """Formats that at least two distinct terms of a column have in common."""
     counts = term_counts(source, columns) if counts is None else counts
+    # The costly format text is written once per skeleton, after the terms are combined.
+    skeletons = counts.select("column_index", format_skeleton(F.col("value")).alias("skeleton"), "count")
     formats = (
-        counts.select("column_index", structural_format(F.col("value")).alias("pattern"), "count")
-        .groupBy("column_index", "pattern")
+        skeletons.where(F.col("skeleton").contains("0"))
+        .groupBy("column_index", "skeleton")
         .agg(
             F.sum("count").alias("occurrence_count"),
             F.count(F.lit(1)).alias("distinct_term_count"),
         )
-        .where(F.col("pattern").isNotNull() & (F.col("distinct_term_count") >= 2))
+        .where(F.col("distinct_term_count") >= 2)
+        .withColumn("pattern", structural_format(F.col("skeleton")))
     )
     return formats.select(
         "column_index",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablecensus.functions.missing import is_missing, is_missing_text, normalize_markers
 from tablecensus.functions.text import (
     casefold,
-    casefold_towards,
+    fold_towards,
     contains_casefolded,
     shorten,
     slice_text,
@@ -75,7 +75,7 @@ def test_missing_rule(spark, markers):
 def test_targeted_folding_agrees_on_equality(spark):
     texts = mixed_texts()
     target = "ss"
-    folded = evaluate(spark, texts, lambda c: casefold_towards(c, [target]) == target)
+    folded = evaluate(spark, texts, lambda c: fold_towards(c, [target]) == target)
     assert folded == [t.casefold() == target for t in texts]
 
 
