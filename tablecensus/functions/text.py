@@ -55,12 +55,19 @@ def casefold(text: Column) -> Column:
     """``str.casefold`` for any text. ASCII rows take the plain ``lower`` path."""
     single, growing = fold_tables()
     folded = F.translate(text, "".join(single), "".join(single.values()))
-    growth = F.create_map(*[F.lit(part) for pair in growing.items() for part in pair])
+    # The one common growing character has its own step. Java tests long character classes one
+    # by one, so the others are only looked for behind a cheap test for the first 256 characters.
+    sharp_s = "ß"
+    folded = F.replace(folded, F.lit(sharp_s), F.lit(growing[sharp_s]))
+    rare = "".join(c for c in growing if c != sharp_s)
+    pieces = F.regexp_extract_all(
+        folded, F.lit(rf"([\x00-\xff]+|[{rare}]|[^\x00-\xff{rare}]+)"), F.lit(0)
+    )
+    growth = F.create_map(*[F.lit(part) for c in rare for part in (c, growing[c])])
     expanded = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(growth, c), c)),
-        "",
+        F.transform(pieces, lambda piece: F.coalesce(F.try_element_at(growth, piece), piece)), ""
     )
-    grows = folded.rlike("[" + "".join(growing) + "]")
+    grows = folded.rlike(rf"(?=[^\x00-\xff])[{rare}]")
     return F.when(is_ascii(text), F.lower(text)).otherwise(
         F.when(grows, expanded).otherwise(folded)
     )

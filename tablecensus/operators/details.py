@@ -139,7 +139,8 @@ def number_rows(source: Table) -> DataFrame:
     """Row positions (1, 2, ...) beside the order columns. Keep it to open many deep pages."""
     order = source.order_columns()
     keys = source.df.select(*[column.alias(f"order{i}") for i, column in enumerate(order)])
-    return with_running_total(keys, [F.col(name) for name in keys.columns], name="row_number")
+    order_keys = [F.col(name) for name in keys.columns]
+    return with_running_total(keys, order_keys, name="row_number").drop("grand_total")
 
 
 def page_of_numbered(

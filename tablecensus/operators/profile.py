@@ -9,12 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..table import Table
-from .completeness import column_completeness
 from .shares import share_of
-from .terms import distinct_terms, structural_formats, term_counts, top_terms
+from .terms import column_name, structural_formats, term_counts, top_terms
 
 SNAPSHOT_VERSION = 1
-PROFILE_TERMS = 3
 COMPARED = (
     "column_index",
     "input_rows",
@@ -36,13 +34,18 @@ def column_profile(
 ) -> DataFrame:
     """Completeness, distinct terms, the most frequent term and the number of repeated formats.
 
-    ``distinct_term_share`` is distinct terms over all rows. Everything but the completeness comes
-    from one grouped result, which is small beside the source; persist it for repeated use.
+    ``distinct_term_share`` is distinct terms over all rows. Everything comes from the counted
+    terms, whose shuffle the parts share, so the source is scanned once.
     """
     counts = term_counts(source, columns) if counts is None else counts
-    completeness = column_completeness(source)
-    # Each side has at most one row per column.
-    distinct = distinct_terms(source, counts=counts).select("column_index", "distinct_term_count")
+    gone = F.when(F.col("value").isNull(), F.col("count")).otherwise(F.lit(0))
+    figures = counts.groupBy("column_index").agg(
+        F.sum("count").alias("input_rows"),
+        F.sum(gone).alias("missing_count"),
+        F.count(F.lit(1)).alias("distinct_term_count"),
+    )
+    present = F.col("input_rows") - F.col("missing_count")
+    # Each side has one row per column at most.
     top = top_terms(source, limit=1, counts=counts).select(
         "column_index",
         F.col("value").alias("top_term"),
@@ -54,11 +57,16 @@ def column_profile(
         .groupBy("column_index")
         .agg(F.count(F.lit(1)).alias("format_count"))
     )
-    joined = completeness.join(F.broadcast(distinct), "column_index")
-    joined = joined.join(F.broadcast(top), "column_index", "left")
+    joined = figures.join(F.broadcast(top), "column_index", "left")
     joined = joined.join(F.broadcast(formats), "column_index", "left")
     return joined.select(
-        *completeness.columns,
+        "column_index",
+        column_name(source),
+        "input_rows",
+        present.alias("present_count"),
+        share_of(present, F.col("input_rows")).alias("present_share"),
+        "missing_count",
+        share_of(F.col("missing_count"), F.col("input_rows")).alias("missing_share"),
         "distinct_term_count",
         share_of(F.col("distinct_term_count"), F.col("input_rows")).alias("distinct_term_share"),
         "top_term",

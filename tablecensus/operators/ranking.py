@@ -29,7 +29,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def with_running_total(
     df: DataFrame, order: Sequence[Column], weight: str | None = None, name: str = "running_total"
 ) -> DataFrame:
-    """Add the total of ``weight`` (or the row count) up to and including each row.
+    """Add the total of ``weight`` (or the row count) up to each row, and ``grand_total``.
 
     The rows are range-partitioned by the order and checkpointed, so the partition totals and
     the rows belong to the same partitioning even when tasks are repeated. Runs that one job.
@@ -47,8 +47,13 @@ def with_running_total(
     # One row per partition: small enough for one window and for a broadcast.
     totals = placed.groupBy("_part").agg(F.sum(amount).alias("_part_total"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     starts = totals.select(
-        "_part", F.coalesce(F.sum("_part_total").over(before), F.lit(0)).alias("_start")
+        "_part",
+        F.coalesce(F.sum("_part_total").over(before), F.lit(0)).alias("_start"),
+        F.sum("_part_total").over(everything).alias("grand_total"),
     )
     within = (
         F.col("_place").bitwiseAND((1 << POSITION_BITS) - 1) + 1

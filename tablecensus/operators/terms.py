@@ -60,16 +60,20 @@ def structural_formats(
 ) -> DataFrame:
     """Formats that at least two distinct terms of a column have in common."""
     counts = term_counts(source, columns) if counts is None else counts
-    # The costly format text is written once per skeleton, after the terms are combined.
-    skeletons = counts.select("column_index", format_skeleton(F.col("value")).alias("skeleton"), "count")
+    # The costly format text is written once per skeleton, after the terms are combined. Terms
+    # without digits share the NULL skeleton. They are dropped by an aggregate, because a plain
+    # filter would be pushed below the shuffle and keep it from being shared with the total.
+    value = F.col("value")
+    skeleton = F.when(value.rlike("[0-9]"), format_skeleton(value))
     formats = (
-        skeletons.where(F.col("skeleton").contains("0"))
+        counts.select("column_index", skeleton.alias("skeleton"), "count")
         .groupBy("column_index", "skeleton")
         .agg(
             F.sum("count").alias("occurrence_count"),
             F.count(F.lit(1)).alias("distinct_term_count"),
+            F.bool_or(F.col("skeleton").isNotNull()).alias("has_digits"),
         )
-        .where(F.col("distinct_term_count") >= 2)
+        .where(F.col("has_digits") & (F.col("distinct_term_count") >= 2))
         .withColumn("pattern", structural_format(F.col("skeleton")))
     )
     return formats.select(

@@ -59,24 +59,34 @@ def value_summary(
     Number quantiles interpolate between neighbours; date quantiles are observed dates, the
     first whose share of the values reaches the quantile. Runs the job that ranks the values.
     """
-    values = source.df.select(parsed(source, name, value_type).alias("value"))
-    counted = values.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
-    ranked = with_running_total(counted, [F.col("value")], "count", "last")
-    ranked = ranked.withColumn("first", F.col("last") - F.col("count") + 1)
-    total = ranked.agg(F.max("last")).scalar()
+    rows = source.df.select(
+        parsed(source, name, value_type).alias("value"), source.missing(name).alias("missing")
+    )
+    # Rows without a parsed value are one group that takes up no ranks.
+    counted = (
+        rows.groupBy("value")
+        .agg(F.count(F.lit(1)).alias("count"), F.count_if("missing").alias("missing"))
+        .withColumn("ranks", F.when(F.col("value").isNull(), F.lit(0)).otherwise(F.col("count")))
+    )
+    ranked = with_running_total(counted, [F.col("value")], "ranks", "last")
+    ranked = ranked.withColumn("first", F.col("last") - F.col("ranks") + 1)
     interpolate = PARSERS[value_type][1] == "double"
-    figures = [F.min("value").alias("min_value"), F.max("value").alias("max_value")]
-    for quantile in quantiles:
-        figures.append(_quantile(quantile, interpolate).alias(f"q{quantile:g}"))
-    # The scalar total is added as a column first: aggregates cannot hold the subquery.
-    summary = ranked.withColumn("total", total).agg(*figures)
-    figures = summary.select(F.struct("*")).scalar()
-    counts = parse_counts(source, name, value_type).withColumn("figures", figures)
-    return counts.select("*", "figures.*").drop("figures")
+    input_rows, missing, parseable = (
+        F.coalesce(F.sum(column), F.lit(0)) for column in ("count", "missing", "ranks")
+    )
+    return ranked.agg(
+        input_rows.alias("input_rows"),
+        missing.alias("missing_count"),
+        parseable.alias("parseable_count"),
+        (input_rows - missing - parseable).alias("unparseable_count"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
+        *[_quantile(quantile, interpolate).alias(f"q{quantile:g}") for quantile in quantiles],
+    )
 
 
 def _quantile(quantile: float, interpolate: bool) -> Column:
-    total = F.col("total")
+    total = F.col("grand_total")
 
     def at(rank: Column) -> Column:
         return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("value")))
