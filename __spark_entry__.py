@@ -185,6 +185,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         "distinct_term_count_after",
         "format_count_before",
         "format_count_after",
+        "rows_with_format_change",
     )
 
 
@@ -528,12 +529,13 @@ def profile_sql(source: str, columns: dict[str, str]) -> str:
         "d as (select column_index, count(*) as distinct_term_count from t group by 1), "
         "top as (select * from (select *, row_number() over (partition by column_index order by \"count\" desc, value) as rn, "
         "sum(\"count\") over (partition by column_index) as present from t where value is not null) where rn = 1), "
-        f"f as (select column_index, count(*) as format_count from (select column_index, {FORMAT.format('value')} as pattern "
+        "f as (select column_index, count(*) as format_count, cast(sum(n) as bigint) as rows_with_format from "
+        f"(select column_index, {FORMAT.format('value')} as pattern, sum(\"count\") as n "
         "from t where regexp_matches(value, '[0-9]') group by 1, 2 having count(*) >= 2) group by 1) "
         "select c.*, d.distinct_term_count, d.distinct_term_count / c.input_rows as distinct_term_share, "
         "top.value as top_term, top.\"count\" as top_term_count, "
         "top.\"count\" / cast(top.present as double) as top_term_share_of_present, "
-        "coalesce(f.format_count, 0) as format_count "
+        "coalesce(f.format_count, 0) as format_count, coalesce(f.rows_with_format, 0) as rows_with_format "
         "from c join d using (column_index) left join top using (column_index) left join f using (column_index)"
     )
 
@@ -550,7 +552,8 @@ def snapshot_sql() -> str:
         "a.input_rows - b.input_rows as input_rows_change, "
         "b.missing_count as missing_count_before, a.missing_count as missing_count_after, "
         "b.distinct_term_count as distinct_term_count_before, a.distinct_term_count as distinct_term_count_after, "
-        "b.format_count as format_count_before, a.format_count as format_count_after "
+        "b.format_count as format_count_before, a.format_count as format_count_after, "
+        "a.rows_with_format - b.rows_with_format as rows_with_format_change "
         "from b full outer join a on a.column_name = b.column_name"
     )
 

@@ -22,6 +22,7 @@ COMPARED = (
     "missing_share",
     "distinct_term_count",
     "format_count",
+    "rows_with_format",
 )
 
 
@@ -32,9 +33,10 @@ class SnapshotError(ValueError):
 def column_profile(
     source: Table, columns: Sequence[str] | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
-    """Completeness, distinct terms, the most frequent term and the number of repeated formats.
+    """Completeness, distinct terms, the most frequent term and the repeated formats.
 
-    ``distinct_term_share`` is distinct terms over all rows. Everything comes from the counted
+    ``distinct_term_share`` is distinct terms over all rows; ``rows_with_format`` counts the rows
+    whose value has one of the repeated formats. Everything comes from the counted
     terms, whose shuffle the parts share, so the source is scanned once.
     """
     counts = term_counts(source, columns) if counts is None else counts
@@ -55,7 +57,10 @@ def column_profile(
     formats = (
         structural_formats(source, counts=counts)
         .groupBy("column_index")
-        .agg(F.count(F.lit(1)).alias("format_count"))
+        .agg(
+            F.count(F.lit(1)).alias("format_count"),
+            F.sum("occurrence_count").alias("rows_with_format"),
+        )
     )
     joined = figures.join(F.broadcast(top), "column_index", "left")
     joined = joined.join(F.broadcast(formats), "column_index", "left")
@@ -73,6 +78,7 @@ def column_profile(
         "top_term_count",
         "top_term_share_of_present",
         F.coalesce(F.col("format_count"), F.lit(0)).alias("format_count"),
+        F.coalesce(F.col("rows_with_format"), F.lit(0)).alias("rows_with_format"),
     )
 
 

@@ -22,11 +22,13 @@ def term_counts(source: Table, columns: Sequence[str] | None = None) -> DataFram
     chosen = choose_columns(source.names, source.names if columns is None else columns)
     labels = [str(source.position(name)) for name in chosen]
     values = source.df.select(*[source.value(name).alias(label) for name, label in zip(chosen, labels)])
+    # Spark would filter a nullable index before some joins, and then not share the shuffle.
+    index = F.coalesce(F.col("column_label").cast("int"), F.lit(0)).alias("column_index")
     return (
         values.unpivot([], labels, "column_label", "value")
         .groupBy("column_label", "value")
         .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.col("column_label").cast("int").alias("column_index"), "value", "count")
+        .select(index, "value", "count")
     )
 
 
