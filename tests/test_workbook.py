@@ -1,0 +1,150 @@
+"""XLSX worksheets, built here from their XML parts."""
+
+import datetime
+import zipfile
+from xml.sax.saxutils import escape
+
+import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+
+import tablecensus as tc
+from tablecensus.sources.workbook import MAC_EPOCH, WINDOWS_EPOCH, WorkbookError, date_text, shift_formula
+
+FAILURES = (WorkbookError, PySparkException, Py4JJavaError)
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
+MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+LINK = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+STYLES = (
+    '<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="[h]:mm"/>'
+    '<numFmt numFmtId="166" formatCode="0.0&quot;d&quot;"/></numFmts>'
+    '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="20"/>'
+    '<xf numFmtId="166"/></cellXfs>'
+)
+
+
+def text(value):
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+
+def sheet(*rows, dimension=""):
+    tag = f'<dimension ref="{dimension}"/>' if dimension else ""
+    body = "".join(row if row.startswith("<row") else f"<row>{row}</row>" for row in rows)
+    return f"{HEAD}<worksheet {MAIN}>{tag}<sheetData>{body}</sheetData></worksheet>"
+
+
+def workbook(path, sheets, shared=()):
+    with zipfile.ZipFile(path, "w") as archive:
+        names = "".join(
+            f'<sheet name="{escape(name)}" sheetId="{i}" r:id="rId{i}"/>' for i, name in enumerate(sheets, 1)
+        )
+        archive.writestr("xl/workbook.xml", f"{HEAD}<workbook {MAIN} {LINK}><sheets>{names}</sheets></workbook>")
+        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        archive.writestr("xl/_rels/workbook.xml.rels", f"{HEAD}<Relationships>{links}</Relationships>")
+        archive.writestr("xl/styles.xml", f"{HEAD}<styleSheet {MAIN}>{STYLES}</styleSheet>")
+        items = "".join(f"<si>{item}</si>" for item in shared)
+        archive.writestr("xl/sharedStrings.xml", f"{HEAD}<sst {MAIN}>{items}</sst>")
+        for i, content in enumerate(sheets.values(), 1):
+            archive.writestr(f"xl/worksheets/s{i}.xml", content)
+    return str(path)
+
+
+def rows_of(source):
+    return [tuple(row) for row in tc.in_source_order(source).collect()]
+
+
+def test_cells_become_text(spark, tmp_path):
+    shared = ["<t>plain</t>", "<r><t>ri</t></r><r><t>ch</t></r><rPh><t>x</t></rPh>"]
+    path = workbook(
+        tmp_path / "a.xlsx",
+        {
+            "first": sheet(text("only")),
+            "data": sheet(
+                "",
+                text("kind") + text("value") + text(" kind "),
+                text("shared") + '<c t="s"><v>0</v></c><c t="s"><v>1</v></c>',
+                text("bool") + '<c t="b"><v>1</v></c><c t="b"><v>0</v></c>',
+                text("number") + "<c><v>42</v></c><c><v>1.50</v></c>",
+                text("date") + '<c s="1"><v>45351</v></c><c s="2"><v>45351.5</v></c>',
+                text("time") + '<c s="4"><v>0.25</v></c><c s="3"><v>1.25</v></c>',
+                text("formula") + "<c><f>SUM(A1:B1)</f><v>3</v></c><c t=\"e\"><v>#REF!</v></c>",
+                text("empty") + '<c s="1"/>' + text(""),
+                '<row r="11"><c r="A11" t="inlineStr"><is><t>gap</t></is></c><c r="C11" s="5"><v>1E3</v></c></row>',
+            ),
+        },
+        shared,
+    )
+    assert [tuple(row) for row in tc.list_worksheets(spark, path).select("sheet_index", "sheet").collect()] == [
+        (0, "first"), (1, "data"),
+    ]
+    source = tc.read_workbooks(spark, path, "data")
+    assert source.names == ("kind", "value", "kind_1")
+    assert rows_of(source) == [
+        ("shared", "plain", "rich"),
+        ("bool", "TRUE", "FALSE"),
+        ("number", "42", "1.5"),
+        ("date", "2024-02-29 00:00:00", "2024-02-29 12:00:00"),
+        ("time", "06:00:00", "1 day, 6:00:00"),
+        ("formula", "=SUM(A1:B1)", "#REF!"),
+        ("empty", None, None),
+        ("gap", None, "1000.0"),
+    ]
+
+
+def test_same_result_as_the_csv_twin(spark, tmp_path):
+    rows = [["record_id", "email"], ["1", "a@x"], ["1", "  "], ["2", "n/a"], ["3", "0"]]
+    path = workbook(tmp_path / "a.xlsx", {"s": sheet(*["".join(map(text, row)) for row in rows])})
+    (tmp_path / "a.csv").write_text("".join(",".join(row) + "\n" for row in rows))
+    markers = {"email": ["N/A"]}
+    from_book = tc.column_completeness(tc.read_workbooks(spark, path, "s", markers)).collect()
+    assert from_book == tc.column_completeness(tc.read_csv(spark, str(tmp_path / "a.csv"), markers)).collect()
+
+
+def test_blank_rows(spark, tmp_path):
+    path = workbook(
+        tmp_path / "a.xlsx",
+        {
+            "two": sheet(text("name") + text("amount"), "", text("x") + text("1"), '<row r="9"/>'),
+            "one": sheet(text("name"), text("x"), '<row r="4"><c r="A4"><v>5</v></c></row>', '<row r="5"/>'),
+        },
+    )
+    assert rows_of(tc.read_workbooks(spark, path, "two")) == [("x", "1")]
+    assert rows_of(tc.read_workbooks(spark, path, "one")) == [("x",), (None,), ("5",), (None,)]
+
+
+def test_declared_width_keeps_unnamed_columns(spark, tmp_path):
+    path = workbook(tmp_path / "a.xlsx", {"s": sheet(text("a"), text("1") + text("2"), dimension="A1:B2")})
+    source = tc.read_workbooks(spark, path, "s")
+    assert source.names == ("a", "") and rows_of(source) == [("1", "2")]
+
+
+def test_folder_of_workbooks(spark, tmp_path):
+    for i in range(3):
+        workbook(tmp_path / f"b{i}.xlsx", {"s": sheet(text("a"), text(f"{i}"), text(f"{i}'"))})
+    assert rows_of(tc.read_workbooks(spark, str(tmp_path), "s")) == [
+        (f"{i}{mark}",) for i in range(3) for mark in ("", "'")
+    ]
+    workbook(tmp_path / "b9.xlsx", {"s": sheet(text("other"))})
+    with pytest.raises(FAILURES):
+        tc.read_workbooks(spark, str(tmp_path), "s")
+
+
+def test_unusable_workbooks(spark, tmp_path):
+    good = workbook(tmp_path / "a.xlsx", {"s": sheet(text("a"), text("1") + text("2")), "none": sheet("", "")})
+    for name in ("S", "none"):
+        with pytest.raises(FAILURES):
+            tc.read_workbooks(spark, good, name)
+    with pytest.raises(FAILURES):
+        rows_of(tc.read_workbooks(spark, good, "s"))
+    (tmp_path / "bad.xlsx").write_bytes(b"not a zip")
+    with pytest.raises(FAILURES):
+        tc.list_worksheets(spark, str(tmp_path / "bad.xlsx")).collect()
+
+
+def test_dates_and_shared_formulas():
+    assert date_text(1, WINDOWS_EPOCH, False) == "1900-01-01 00:00:00"
+    assert date_text(60, WINDOWS_EPOCH, False) == "1900-02-28 00:00:00"
+    assert date_text(61.75, WINDOWS_EPOCH, False) == "1900-03-01 18:00:00"
+    assert date_text(0, MAC_EPOCH, False) == "00:00:00"
+    assert date_text(1.5, MAC_EPOCH, True) == str(datetime.timedelta(days=1.5))
+    assert shift_formula("A1+$B$2*C$3&\"A1\"+LOG10(Z9)", 2, 1) == "B3+$B$2*D$3&\"A1\"+LOG10(AA11)"
