@@ -1,13 +1,12 @@
 """Which combinations of present and missing columns occur, and what such rows look like.
 
-The statuses of a row are packed into the bits of one long per 62 columns. Grouping on longs
-keeps hashing and the shuffle cheap; the status texts are written only for the distinct patterns.
+Rows are grouped on packed status bits (see ``masks``), which keeps hashing and the shuffle cheap;
+the status texts are written only for the distinct patterns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +16,9 @@ from ..functions.text import shorten
 from ..plans.selection import ColumnSelectionError, choose_columns
 from ..table import Table, by_position, exact_position
 from .completeness import completeness_rows
+from .masks import is_present, mask_names, packed_rows
 from .shares import share_of, total_of
 
-BITS = 62
 WIDE_SELECTION = 20
 
 # How many example rows are kept.
@@ -42,29 +41,9 @@ def _selected(
     return chosen
 
 
-def _masks(source: Table, columns: Sequence[str]) -> list[Column]:
-    masks = []
-    for start in range(0, len(columns), BITS):
-        bits = [
-            F.when(source.present(name), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-            for i, name in enumerate(columns[start : start + BITS])
-        ]
-        masks.append(reduce(Column.bitwiseOR, bits).alias(f"mask{start // BITS}"))
-    return masks
-
-
-def _mask_names(columns: Sequence[str]) -> list[str]:
-    return [f"mask{i}" for i in range(-(-len(columns) // BITS))]
-
-
-def _is_present(position: int) -> Column:
-    bit = F.lit(1 << (position % BITS)).cast("long")
-    return F.col(f"mask{position // BITS}").bitwiseAND(bit) != 0
-
-
 def _statuses(columns: Sequence[str]) -> list[Column]:
     return [
-        F.when(_is_present(i), F.lit(PRESENT)).otherwise(F.lit(MISSING)).alias(f"s{i}")
+        F.when(is_present(i), F.lit(PRESENT)).otherwise(F.lit(MISSING)).alias(f"s{i}")
         for i in range(len(columns))
     ]
 
@@ -81,8 +60,8 @@ def completeness_patterns(
     """
     chosen = _selected(source, columns, identifier, allow_wide)
     counts = (
-        source.df.select(*_masks(source, chosen))
-        .groupBy(*_mask_names(chosen))
+        packed_rows(source, chosen)
+        .groupBy(*mask_names(chosen))
         .agg(F.count(F.lit(1)).alias("count"))
     )
     return _pattern_rows(counts, chosen)
@@ -109,12 +88,10 @@ def pattern_counts(
     """
     chosen = _selected(source, columns, identifier, allow_wide)
     others = [name for name in source.names if name not in chosen]
+    other_flags = [source.present(name).alias(f"o{source.position(name)}") for name in others]
     return (
-        source.df.select(
-            *_masks(source, chosen),
-            *[source.present(name).alias(f"o{source.position(name)}") for name in others],
-        )
-        .groupBy(*_mask_names(chosen))
+        packed_rows(source, chosen, other_flags)
+        .groupBy(*mask_names(chosen))
         .agg(
             F.count(F.lit(1)).alias("count"),
             *[
@@ -146,7 +123,7 @@ def completeness_from_counts(
     present = []
     for i, name in enumerate(source.names):
         if name in chosen:
-            part = F.when(_is_present(chosen.index(name)), F.col("count")).otherwise(0)
+            part = F.when(is_present(chosen.index(name)), F.col("count")).otherwise(0)
         else:
             part = F.col(f"p{i}")
         present.append(F.coalesce(F.sum(part), F.lit(0)).alias(f"p{i}"))
@@ -179,25 +156,28 @@ def pattern_preview(
     Every pattern gets its first row before any gets a second, up to the two limits.
     """
     chosen = _selected(source, columns, identifier, allow_wide)
-    masks = _mask_names(chosen)
+    keys = mask_names(chosen)
     order = source.order_columns()
     order_names = [f"order{i}" for i in range(len(order))]
     identifier_text = (
         shorten(source.text(identifier)) if identifier in source.names else F.lit(None).cast("string")
     )
-    rows = source.df.select(
-        *_masks(source, chosen),
-        *[column.alias(name) for column, name in zip(order, order_names)],
-        identifier_text.alias("identifier"),
-        *[shorten(source.text(name)).alias(f"v{i}") for i, name in enumerate(chosen)],
+    rows = packed_rows(
+        source,
+        chosen,
+        [
+            *[column.alias(name) for column, name in zip(order, order_names)],
+            identifier_text.alias("identifier"),
+            *[shorten(source.text(name)).alias(f"v{i}") for i, name in enumerate(chosen)],
+        ],
     )
     # Spark keeps at most rows_per_pattern rows of a pattern per input partition before the shuffle.
-    ranking = Window.partitionBy(*masks).orderBy(*order_names)
+    ranking = Window.partitionBy(*keys).orderBy(*order_names)
     ranked = rows.withColumn("preview_rank", F.row_number().over(ranking)).where(
         F.col("preview_rank") <= rows_per_pattern
     )
     if _limits_can_bind(len(chosen), rows_per_pattern, first_rows_limit, extra_rows_limit):
-        ranked = _within_limits(ranked, masks, order_names, first_rows_limit, extra_rows_limit)
+        ranked = _within_limits(ranked, keys, order_names, first_rows_limit, extra_rows_limit)
     return ranked.select(
         *_statuses(chosen),
         "preview_rank",

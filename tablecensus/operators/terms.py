@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.missing import is_missing
 from ..functions.text import format_skeleton, structural_format
 from ..plans.selection import choose_columns
 from ..table import Table
@@ -21,17 +22,32 @@ def term_counts(source: Table, columns: Sequence[str] | None = None) -> DataFram
     """
     chosen = choose_columns(source.names, source.names if columns is None else columns)
     labels = [str(source.position(name)) for name in chosen]
-    values = source.df.select(*[source.value(name).alias(label) for name, label in zip(chosen, labels)])
+    texts = source.df.select(*[source.text(name).alias(label) for name, label in zip(chosen, labels)])
+    cells = texts.unpivot([], labels, "column_label", "text")
+    # The missing rule stands behind the unpivot, once per set of markers and not once per column.
+    value = F.when(~_missing_cell(source, chosen), F.col("text")).alias("value")
     # Spark would filter a nullable index before some joins, and then not share the shuffle.
     index = F.coalesce(F.col("column_label").cast("int"), F.lit(0)).alias("column_index")
     return (
-        values.unpivot([], labels, "column_label", "value")
+        cells.select("column_label", value)
         .groupBy("column_label", "value")
         .agg(F.count(F.lit(1)).alias("count"))
         .select(index, "value", "count")
     )
 
 
+def _missing_cell(source: Table, columns: Sequence[str]) -> Column:
+    labels_by_markers: dict[frozenset[str], list[str]] = {}
+    for name in columns:
+        markers = source.markers.get(name, frozenset())
+        labels_by_markers.setdefault(markers, []).append(str(source.position(name)))
+    rule = None
+    for markers, labels in labels_by_markers.items():
+        missing = is_missing(F.col("text"), markers)
+        rule = missing if rule is None else F.when(F.col("column_label").isin(labels), missing).otherwise(rule)
+    return rule
+
+
 def column_name(source: Table) -> Column:
     """Give the display name beside a ``column_index``."""
     names = F.array(*[F.lit(name) for name in source.names])
