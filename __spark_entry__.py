@@ -21,6 +21,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import tablecensus as tc  # noqa: E402
 from tablecensus.functions import text as text_functions  # noqa: E402
 
+try:  # the pipeline operators are an optional part
+    import corpus_pipeline
+    from tablecensus.llm.oracles import ORACLES as LLM_ORACLES
+    from tablecensus.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_ORACLES = {**LLM_ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+
 # Python workers get the helper functions with the job, wherever the driver was started.
 cloudpickle.register_pickle_by_value(tc)
 
@@ -206,6 +216,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     two = ["status", "priority"]
     return {
+        **LLM_QUERIES,
         # completeness
         "row_count_lineitem": lambda s, d: tc.row_count(plain(s, d, "lineitem")),
         "column_completeness_orders": lambda s, d: tc.column_completeness(orders(s, d)),
@@ -779,4 +790,4 @@ def oracle_sql() -> dict[str, str]:
         "cast(0 as bigint) as left_missing_key_rows, cast(0 as bigint) as right_missing_key_rows from j",
         "top_terms_events": top_terms_sql(terms_sql("events_text", events_terms), 5),
     }
-    return {name: with_views(body) for name, body in sql.items()}
+    return {**{name: with_views(body) for name, body in sql.items()}, **LLM_ORACLES}
