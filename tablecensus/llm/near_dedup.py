@@ -188,21 +188,20 @@ def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> D
     done = stored(verified(open_rows.select("a", "b").distinct(), texts, least), "near-verified-0")
     found, round_ = done, 0
     while True:
-        # Members unlike their representative look for another among each other: first under a
-        # second sketch as well, which splits large buckets, then with the next representative.
+        # Members unlike their representative meet again where they agree on one more sketch. Sketch
+        # numbers only rise, so this ends after as many rounds as there are sketches, and buckets
+        # shrink to texts that agree on ever more sketches.
         failed = open_rows.where("n > 2").join(done.where("not ok"), ["a", "b"], "left_semi").select("a", "key", "s")
         round_ += 1
-        if round_ == 1:
-            other = spread.select("a", F.posexplode("keys").alias("s2", "key2"))
-            failed = failed.join(other, "a").where("s <> s2").select("a", F.xxhash64("key", "key2").alias("key"), F.col("s"))
+        other = spread.select("a", F.posexplode("keys").alias("s2", "key2"))
+        failed = failed.join(other, "a").where("s2 > s").select("a", F.xxhash64("key", "key2").alias("key"), F.col("s2").alias("s"))
         rest = failed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
         open_rows = stored(failed.join(rest, "key").where("a <> b").select("a", "b", "key", "s", "n"), f"near-open-{round_}")
         pairs = open_rows.select("a", "b").distinct()
         if not open_rows.limit(1).count():
             return found.where("ok").select("a", "b").distinct()
         fresh = verified(pairs.join(found, ["a", "b"], "left_anti"), texts, least)
-        fresh = stored(fresh, f"near-verified-{round_}")
-        found = found.union(fresh)
+        found = found.union(stored(fresh, f"near-verified-{round_}"))
         done = found
 
 
