@@ -188,13 +188,14 @@ def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> D
     done = stored(verified(open_rows.select("a", "b").distinct(), texts, least), "near-verified-0")
     found, round_ = done, 0
     while True:
-        # Members unlike their representative meet again where they agree on one more sketch. Sketch
-        # numbers only rise, so this ends after as many rounds as there are sketches, and buckets
-        # shrink to texts that agree on ever more sketches.
+        # Members unlike their representative meet again where they agree on the next sketch, too:
+        # one row stays one row, and buckets shrink to texts that agree on ever more sketches. A
+        # bucket that all sketches leave together loses its representative in every round.
         failed = open_rows.where("n > 2").join(done.where("not ok"), ["a", "b"], "left_semi").select("a", "key", "s")
         round_ += 1
-        other = spread.select("a", F.posexplode("keys").alias("s2", "key2"))
-        failed = failed.join(other, "a").where("s2 > s").select("a", F.xxhash64("key", "key2").alias("key"), F.col("s2").alias("s"))
+        after = spread.select("a", F.posexplode("keys").alias("s2", "key2"))
+        failed = failed.withColumn("s2", (F.col("s") + 1) % n_sketches).join(after, ["a", "s2"])
+        failed = failed.select("a", F.xxhash64("key", "key2").alias("key"), F.col("s2").alias("s"))
         rest = failed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
         open_rows = stored(failed.join(rest, "key").where("a <> b").select("a", "b", "key", "s", "n"), f"near-open-{round_}")
         pairs = open_rows.select("a", "b").distinct()
@@ -217,7 +218,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     first = keep.where("doc_id is not null").groupBy("doc_id").agg(F.min("_th").alias("_th"), F.min_by("n", "_th").alias("n"))
     keep = first.union(keep.where("doc_id is null").select("doc_id", "_th", F.lit(1).cast("long")))
     keep = stored(keep.select(F.col("doc_id").alias("_k"), F.col("_th").alias("_kt"), "n"), "near-kept-once")
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    packed = docs.select(F.struct("*").alias("_row"))
     text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
     packed = packed.withColumns({"_id": F.col("_row.doc_id").cast("long"), "_th": F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text)))})
     kept = packed.join(keep, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_kt")))
