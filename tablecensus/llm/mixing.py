@@ -122,7 +122,7 @@ def thresholds(slim: DataFrame, goal: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with a column ``copies``: how often the mix takes the row; rows taken never are gone."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    row = docs.select(F.struct("*").alias("_row"))
     row = row.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_row.source").cast("string").alias("_source"))
     goal = plan(stored(with_size(row.drop("_row")).drop("text"), "mix-sizes"), **options)
     joined = with_size(row).join(within_bound(goal.withColumnRenamed("_source", "_t_source")), F.col("_source").eqNullSafe(F.col("_t_source")))
