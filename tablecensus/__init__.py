@@ -62,7 +62,6 @@ from .sinks.csv import (
 )
 from .sources.csv import read_csv
 from .sources.row_ids import with_file_row_id
-from .sources.workbook import list_worksheets, read_workbooks
 from .table import Table, require_rows, table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

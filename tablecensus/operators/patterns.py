@@ -23,8 +23,6 @@ WIDE_SELECTION = 20
 
 # How many example rows are kept.
 PREVIEW_ROWS = 5
-FIRST_ROWS_LIMIT = 20_000
-EXTRA_ROWS_LIMIT = 20_000
 
 
 def _selected(
@@ -148,12 +146,12 @@ def pattern_preview(
     identifier: str | None = None,
     allow_wide: bool = False,
     rows_per_pattern: int = PREVIEW_ROWS,
-    first_rows_limit: int = FIRST_ROWS_LIMIT,
-    extra_rows_limit: int = EXTRA_ROWS_LIMIT,
+    first_rows_limit: int | None = None,
+    extra_rows_limit: int | None = None,
 ) -> DataFrame:
     """The first rows behind every pattern, in source order, with shortened cell texts.
 
-    Every pattern gets its first row before any gets a second, up to the two limits.
+    Every pattern gets its first row before any gets a second; limits hold only where they are given.
     """
     chosen = _selected(source, columns, identifier, allow_wide)
     keys = mask_names(chosen)
@@ -176,7 +174,7 @@ def pattern_preview(
     ranked = rows.withColumn("preview_rank", F.row_number().over(ranking)).where(
         F.col("preview_rank") <= rows_per_pattern
     )
-    if _limits_can_bind(len(chosen), rows_per_pattern, first_rows_limit, extra_rows_limit):
+    if first_rows_limit is not None or extra_rows_limit is not None:
         ranked = _within_limits(ranked, keys, order_names, first_rows_limit, extra_rows_limit)
     return ranked.select(
         *_statuses(chosen),
@@ -191,23 +189,17 @@ def pattern_preview(
     )
 
 
-def _limits_can_bind(column_count: int, per_pattern: int, first_limit: int, extra_limit: int) -> bool:
-    patterns = 2**column_count
-    return patterns > first_limit or patterns * (per_pattern - 1) > extra_limit
-
-
 def _within_limits(
-    ranked: DataFrame, masks: list[str], order: list[str], first_limit: int, extra_limit: int
+    ranked: DataFrame, masks: list[str], order: list[str], first_limit: int | None, extra_limit: int | None
 ) -> DataFrame:
-    # Only the narrow keys are sorted for the limits; their number is bounded by the limits, so
-    # both can be broadcast.
+    # Only the narrow keys are sorted for the limits. Joins are left to the optimizer: without a
+    # limit, or with a large one, the keys may be many.
     keys = ranked.select(*masks, *order, "preview_rank")
-    first = keys.where("preview_rank = 1").orderBy(*order).limit(first_limit)
-    extra = (
-        keys.where("preview_rank > 1")
-        .join(F.broadcast(first.select(*masks)), masks, "left_semi")
-        .orderBy(*order)
-        .limit(extra_limit)
-    )
+    first = keys.where("preview_rank = 1")
+    if first_limit is not None:
+        first = first.orderBy(*order).limit(first_limit)
+    extra = keys.where("preview_rank > 1").join(first.select(*masks), masks, "left_semi")
+    if extra_limit is not None:
+        extra = extra.orderBy(*order).limit(extra_limit)
     kept = first.select(*masks, "preview_rank").union(extra.select(*masks, "preview_rank"))
-    return ranked.join(F.broadcast(kept), [*masks, "preview_rank"], "left_semi")
+    return ranked.join(kept, [*masks, "preview_rank"], "left_semi")
