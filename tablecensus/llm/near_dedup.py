@@ -152,7 +152,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(align, "a long, b long, ok boolean")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, n_sketches: int = 16, per_sketch: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, n_sketches: int = 40, per_sketch: int = 4) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links, n_same.
 
     ``n_links`` counts verified links of the document's text to other texts, ``n_same`` the rows with
@@ -186,24 +186,25 @@ def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> D
     wanted = same.select(F.col("rep").alias("_id"), "_th").join(ids.withColumnRenamed("a", "_id"), "_id", "left_semi")
     texts = stored(texts.join(wanted, ["_id", "_th"], "left_semi").dropDuplicates(["_id"]), "near-candidate-texts")
     done = stored(verified(open_rows.select("a", "b").distinct(), texts, least), "near-verified-0")
+    # Only texts unlike a representative need all their keys again.
+    unlike = done.where("not ok").select("a").distinct()
+    open_keys = stored(spread.join(unlike, "a", "left_semi").select("a", "keys"), "near-unlike")
     found, round_ = done, 0
     while True:
         # Members unlike their representative meet again where they agree on the next sketch, too:
         # one row stays one row, and buckets shrink to texts that agree on ever more sketches. A
         # bucket that all sketches leave together loses its representative in every round.
-        failed = open_rows.where("n > 2").join(done.where("not ok"), ["a", "b"], "left_semi").select("a", "key", "s")
+        failed = open_rows.where("n > 2").join(done.where("not ok"), ["a", "b"], "left_semi")
+        failed = failed.select("a", "key", ((F.col("s") + 1) % n_sketches).alias("s")).join(open_keys, "a")
+        failed = failed.select("a", F.xxhash64("key", F.col("keys")[F.col("s")]).alias("key"), "s")
         round_ += 1
-        after = spread.select("a", F.posexplode("keys").alias("s2", "key2"))
-        failed = failed.withColumn("s2", (F.col("s") + 1) % n_sketches).join(after, ["a", "s2"])
-        failed = failed.select("a", F.xxhash64("key", "key2").alias("key"), F.col("s2").alias("s"))
         rest = failed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
         open_rows = stored(failed.join(rest, "key").where("a <> b").select("a", "b", "key", "s", "n"), f"near-open-{round_}")
         pairs = open_rows.select("a", "b").distinct()
         if not open_rows.limit(1).count():
             return found.where("ok").select("a", "b").distinct()
-        fresh = verified(pairs.join(found, ["a", "b"], "left_anti"), texts, least)
-        found = found.union(stored(fresh, f"near-verified-{round_}"))
-        done = found
+        fresh = stored(verified(pairs.join(found, ["a", "b"], "left_anti"), texts, least), f"near-verified-{round_}")
+        found = done = found.union(fresh)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
