@@ -20,6 +20,7 @@ from .shared import stored
 
 WORD_BREAK = r"[^\p{L}]+"
 BLOCK = 64
+FIRST_BLOCKS = 8
 
 
 def words_of(text: str = "text"):
@@ -49,45 +50,60 @@ class BlockMaxIndex:
         order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i].items(), key=lambda t: (-t[1], t[0])), ids[i]))
         self.labels = np.array([labels[i] for i in order], float)
         self.ids = np.array([ids[i] for i in order], np.int64)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        bounds: dict[int, dict[int, float]] = {}
-        for start in range(0, len(order), BLOCK):
-            lists: dict[int, tuple[list[int], list[float]]] = {}
-            for k, i in enumerate(order[start : start + BLOCK]):
-                for t, w in vectors[i].items():
-                    at, weight = lists.setdefault(t, ([], []))
-                    at.append(k)
-                    weight.append(w)
-            self.postings.append({t: (np.array(a), np.array(w)) for t, (a, w) in lists.items()})
-            for t, (_, w) in lists.items():
-                bounds.setdefault(t, {})[start // BLOCK] = max(w)
-        self.bounds = {t: (np.array(sorted(b)), np.array([b[i] for i in sorted(b)])) for t, b in bounds.items()}
+        self.blocks = -(-len(order) // BLOCK)
+        lists: dict[int, tuple[list[int], list[float]]] = {}
+        for at, i in enumerate(order):
+            for t, w in vectors[i].items():
+                places, weights = lists.setdefault(t, ([], []))
+                places.append(at)
+                weights.append(w)
+        # Per word: places and weights, then its blocks with first posting, number and largest weight.
+        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
+        for t, (p, w) in lists.items():
+            places, weights = np.array(p), np.array(w)
+            block, first, size = np.unique(places // BLOCK, return_index=True, return_counts=True)
+            self.postings[t] = (places, weights, block, first, size, np.maximum.reduceat(weights, first))
+
+    def scores(self, query: dict[int, float], live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positive cosines and places of the examples in the blocks that are ``live``; others are not read."""
+        s = np.zeros(self.blocks * BLOCK)
+        for t, w in query.items():
+            if t in self.postings:
+                places, weights, block, first, size, _ = self.postings[t]
+                here = live[block]
+                n = size[here]
+                at = np.arange(n.sum()) + np.repeat(first[here] - np.cumsum(n) + n, n)
+                s[places[at]] += w * weights[at]
+        hit = np.flatnonzero(s > 0)
+        # Equal vectors differ by rounding only: compare what is left after that.
+        return np.round(s[hit], 9), hit
 
     def nearest(self, query: dict[int, float], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest examples with positive cosine: cosines and places; ties by place."""
-        bound = np.zeros(len(self.postings))
+        bound = np.zeros(self.blocks)
         for t, w in query.items():
-            if t in self.bounds:
-                at, top = self.bounds[t]
-                bound[at] += w * top
+            if t in self.postings:
+                bound[self.postings[t][2]] += w * self.postings[t][5]
         found_s, found_i = np.empty(0), np.empty(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found_s) == k and bound[b] + 1e-9 < found_s[-1]):
-                break
-            s = np.zeros(BLOCK)
-            for t, w in query.items():
-                if t in self.postings[b]:
-                    at, weight = self.postings[b][t]
-                    s[at] += w * weight
-            hit = np.flatnonzero(s > 0)
-            place = hit + b * BLOCK
+        # The best blocks give a k-th cosine; then all blocks whose bound reaches it are scored at once.
+        best = np.zeros(self.blocks, bool)
+        best[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        for step in range(2):
+            live = best if step == 0 else ~best & (bound > 0)
+            if len(found_s) == k:
+                live &= bound + 1e-9 >= found_s[-1]
+            if not live.any():
+                continue
+            s, place = self.scores(query, live)
             if skip is not None:
                 keep = self.ids[place] != skip
-                hit, place = hit[keep], place[keep]
-            # Equal vectors differ by rounding only: compare what is left after that.
-            s_all, i_all = np.r_[found_s, np.round(s[hit], 9)], np.r_[found_i, place]
-            best = np.lexsort((i_all, -s_all))[:k]
-            found_s, found_i = s_all[best], i_all[best]
+                s, place = s[keep], place[keep]
+            s, place = np.r_[found_s, s], np.r_[found_i, place]
+            if len(s) > k:
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, place = s[keep], place[keep]
+            top = np.lexsort((place, -s))[:k]
+            found_s, found_i = s[top], place[top]
         return found_s, found_i
 
 
