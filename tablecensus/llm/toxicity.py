@@ -51,39 +51,40 @@ class BlockMaxIndex:
         self.labels = np.array([labels[i] for i in order], float)
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.blocks = -(-len(order) // BLOCK)
-        lists: dict[int, tuple[list[int], list[float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                places, weights = lists.setdefault(t, ([], []))
-                places.append(at)
-                weights.append(w)
-        # Per word: places and weights, then its blocks with first posting, number and largest weight.
-        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
-        for t, (p, w) in lists.items():
-            places, weights = np.array(p), np.array(w)
-            block, first, size = np.unique(places // BLOCK, return_index=True, return_counts=True)
-            self.postings[t] = (places, weights, block, first, size, np.maximum.reduceat(weights, first))
-
-    def scores(self, query: dict[int, float], live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positive cosines and places of the examples in the blocks that are ``live``; others are not read."""
-        s = np.zeros(self.blocks * BLOCK)
-        for t, w in query.items():
-            if t in self.postings:
-                places, weights, block, first, size, _ = self.postings[t]
-                here = live[block]
-                n = size[here]
-                at = np.arange(n.sum()) + np.repeat(first[here] - np.cumsum(n) + n, n)
-                s[places[at]] += w * weights[at]
+        flat = [(t, at, w) for at, i in enumerate(order) for t, w in vectors[i].items()]
+        term, place = np.array([f[0] for f in flat], np.int64), np.array([f[1] for f in flat], np.int64)
+        weight, by_term = np.array([f[2] for f in flat], float), np.lexsort((place, term))
+        self.places, self.weights, term = place[by_term], weight[by_term], term[by_term]
+        # One entry per word and block: its block, first posting, number of postings, largest weight.
+        pair, self.first, self.size = np.unique(term * max(1, self.blocks) + self.places // BLOCK, return_index=True, return_counts=True)
+        self.block = pair % max(1, self.blocks)
+        self.largest = np.maximum.reduceat(self.weights, self.first) if len(pair) else np.empty(0)
+        # Entries of word t lie between starts[t] and starts[t + 1].
+        self.starts = np.searchsorted(pair // max(1, self.blocks), np.arange(int(term.max(initial=-1)) + 2))
+
+    @staticmethod
+    def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+    def scores(self, entries: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positive cosines and places over the postings of ``entries`` with query weights ``w``."""
+        size = self.size[entries]
+        at = self.ranges(self.first[entries], size)
+        s = np.bincount(self.places[at], np.repeat(w, size) * self.weights[at], self.blocks * BLOCK)
         hit = np.flatnonzero(s > 0)
         # Equal vectors differ by rounding only: compare what is left after that.
         return np.round(s[hit], 9), hit
 
     def nearest(self, query: dict[int, float], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest examples with positive cosine: cosines and places; ties by place."""
-        bound = np.zeros(self.blocks)
-        for t, w in query.items():
-            if t in self.postings:
-                bound[self.postings[t][2]] += w * self.postings[t][5]
+        terms = np.array([t for t in query if t + 1 < len(self.starts)], np.int64)
+        n = self.starts[terms + 1] - self.starts[terms] if len(terms) else terms
+        if not n.sum():
+            return np.empty(0), np.empty(0, np.int64)
+        entries = self.ranges(self.starts[terms], n)
+        w = np.repeat(np.array([query[t] for t in terms.tolist()]), n)
+        block = self.block[entries]
+        bound = np.bincount(block, w * self.largest[entries], self.blocks)
         found_s, found_i = np.empty(0), np.empty(0, np.int64)
         # The best blocks give a k-th cosine; then all blocks whose bound reaches it are scored at once.
         best = np.zeros(self.blocks, bool)
@@ -94,7 +95,8 @@ class BlockMaxIndex:
                 live &= bound + 1e-9 >= found_s[-1]
             if not live.any():
                 continue
-            s, place = self.scores(query, live)
+            read = live[block]
+            s, place = self.scores(entries[read], w[read])
             if skip is not None:
                 keep = self.ids[place] != skip
                 s, place = s[keep], place[keep]
