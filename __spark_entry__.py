@@ -349,6 +349,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rows_page_deep_lineitem": lambda s, d: tc.page(
             plain(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), 1001
         ),
+        "rows_page_deep_ties_lineitem": lambda s, d: tc.page(
+            plain(s, d, "lineitem", "l_quantity", "l_linenumber"), 1001
+        ).select("l_quantity", "l_linenumber"),
         "row_numbers_orders": lambda s, d: tc.number_rows(orders(s, d)).select(
             F.col("order0").alias("o_orderkey"), "row_number"
         ),
@@ -738,6 +741,8 @@ def oracle_sql() -> dict[str, str]:
         "rows_page_orders": rows_sql(NO_PRIORITY) + " order by o_orderkey limit 50 offset 50",
         "rows_page_deep_lineitem": "select * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey "
         "limit 50 offset 50000",
+        "rows_page_deep_ties_lineitem": "select l_quantity, l_linenumber from lineitem "
+        "order by l_quantity, l_linenumber limit 50 offset 50000",
         "row_numbers_orders": "select o_orderkey, row_number() over (order by o_orderkey) as row_number from orders",
         "inert_export_part": f"select p_partkey, {INERT.format('export_text')} as export_text from part_text",
         "row_export_lines_orders": "select concat_ws(',', "

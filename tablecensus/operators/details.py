@@ -121,24 +121,30 @@ def head(source: Table, rows: int) -> Table:
 def page(source: Table, number: int, page_rows: int = PAGE_ROWS, columns: Sequence[str] | None = None) -> DataFrame:
     """One page of rows in source order, counted from 1; a page past the end is empty.
 
-    Pages far from the start are found by row position (see ``numbered``) instead of keeping all
-    rows before them.
+    Rows of equal order follow in the order of a hash of the whole row, so pages neither overlap nor
+    leave out rows. Pages far from the start are found by row position (see ``numbered``) instead of
+    keeping all rows before them.
     """
     if number < 1:
         raise ValueError("Pages are counted from 1.")
     offset = (number - 1) * page_rows
     order = source.order_columns()
     if offset + page_rows <= SHALLOW_ROWS:
-        return source.to_df(columns, source.df.orderBy(*order).offset(offset).limit(page_rows))
+        return source.to_df(columns, with_tie(source).orderBy(*order, "_tie").offset(offset).limit(page_rows))
     if offset >= LARGEST_LONG - page_rows:
         return source.to_df(columns, source.df.where(F.lit(False)))
     return page_of_numbered(source, number_rows(source), number, page_rows, columns)
 
 
+def with_tie(source: Table) -> DataFrame:
+    """The rows with ``_tie``, a hash of all columns that tells rows of equal order apart."""
+    return source.df.select("*", F.xxhash64(F.struct("*")).alias("_tie"))
+
+
 def number_rows(source: Table) -> DataFrame:
-    """Row positions (1, 2, ...) beside the order columns. Keep it to open many deep pages."""
+    """Row positions (1, 2, ...) beside the order columns and a row hash. Keep it to open many deep pages."""
     order = source.order_columns()
-    keys = source.df.select(*[column.alias(f"order{i}") for i, column in enumerate(order)])
+    keys = with_tie(source).select(*[column.alias(f"order{i}") for i, column in enumerate(order)], F.col("_tie").alias("tie"))
     order_keys = [F.col(name) for name in keys.columns]
     return with_running_total(keys, order_keys, name="row_number").drop("grand_total")
 
@@ -153,10 +159,13 @@ def page_of_numbered(
     offset = (number - 1) * page_rows
     wanted = numbered.where(F.col("row_number").between(offset + 1, offset + page_rows))
     order = source.order_columns()
-    same = [column.eqNullSafe(F.col(f"order{i}")) for i, column in enumerate(order)]
-    # The order is unique per row, so the page is at most page_rows keys.
-    rows = source.df.join(F.broadcast(wanted), reduce(Column.__and__, same), "inner")
-    return source.to_df(columns, rows.orderBy("row_number"))
+    keys = [*(f"order{i}" for i in range(len(order))), "tie"]
+    same = [column.eqNullSafe(F.col(key)) for column, key in zip([*order, F.col("_tie")], keys, strict=True)]
+    # At most page_rows keys. Rows with equal keys are equal: one stands for all of them.
+    rows = with_tie(source).join(F.broadcast(wanted.select(*keys).distinct()), reduce(Column.__and__, same), "inner")
+    rows = rows.dropDuplicates(keys).withColumnsRenamed({key: f"found_{key}" for key in keys})
+    placed = [F.col(f"found_{key}").eqNullSafe(F.col(key)) for key in keys]
+    return source.to_df(columns, rows.join(F.broadcast(wanted), reduce(Column.__and__, placed), "inner").orderBy("row_number"))
 
 
 def row_total(source: Table) -> DataFrame:

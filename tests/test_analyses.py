@@ -21,18 +21,20 @@ def tuples(df):
 
 
 @pytest.fixture
-def people(text_table):
+def parcels(text_table):
     return text_table(
-        ["record_id", "email", "phone", "amount"],
+        ["parcel", "sender", "weight", "note"],
         [
-            ["1", "a@x", "1", "0"],
-            ["1", "", "n/a", "5"],
-            ["2", "  ", " N/A ", ""],
-            ["3", "b@x", "", "7"],
-            ["4", "c@x", "2", "-"],
-            ["5", "", "3", "x"],
+            ["1", "Oslo", "12", ""],
+            ["2", "", "unknown", "fragile"],
+            ["3", "Turin", " UNKNOWN ", "none"],
+            ["4", " ", "7", ""],
+            ["5", "Oslo", "7", "cold"],
+            ["6", "Lima", "", "fragile"],
+            ["7", "Oslo", "31", " "],
+            ["7", "Turin", "7", "fragile"],
         ],
-        {"phone": ["n/a"], "amount": ["-"]},
+        {"weight": ["unknown"], "note": ["none"]},
     )
 
 
@@ -55,20 +57,18 @@ def test_markers_need_known_columns(spark):
         tc.table(spark.range(1), {"ID": ["x"]})
 
 
-def test_column_completeness(people):
-    rows = tuples(tc.column_completeness(people))
-    assert rows == [
-        (0, "record_id", 6, 6, 1.0, 0, 0.0),
-        (1, "email", 6, 3, 0.5, 3, 0.5),
-        (2, "phone", 6, 3, 0.5, 3, 0.5),
-        (3, "amount", 6, 4, 4 / 6, 2, 2 / 6),
+def test_column_completeness(parcels):
+    completeness = tc.column_completeness(parcels)
+    assert tuples(completeness) == [
+        (0, "parcel", 8, 8, 1.0, 0, 0.0),
+        (1, "sender", 8, 6, 0.75, 2, 0.25),
+        (2, "weight", 8, 5, 0.625, 3, 0.375),
+        (3, "note", 8, 4, 0.5, 4, 0.5),
     ]
-    health = tc.dataset_health(tc.column_completeness(people)).head()
-    assert tuple(health) == (24, 16, 8, 16 / 24, 3)
-    levels = [row.level for row in tc.with_level(tc.column_completeness(people)).collect()]
-    assert levels == ["high", "moderate", "moderate", "moderate"]
-    order = [row.column_name for row in tc.order_columns(tc.column_completeness(people), "missing").collect()]
-    assert order == ["email", "phone", "amount", "record_id"]
+    assert tuple(tc.dataset_health(completeness).head()) == (32, 23, 9, 23 / 32, 3)
+    assert [row.level for row in tc.with_level(completeness).collect()] == ["high", "moderate", "moderate", "moderate"]
+    order = [row.column_name for row in tc.order_columns(completeness, "missing").collect()]
+    assert order == ["note", "weight", "sender", "parcel"]
 
 
 def test_level_rounds_halves_up(spark):
@@ -86,17 +86,17 @@ def test_empty_table(text_table):
     assert tuples(tc.completeness_from_counts(counts, source))[1][:4] == (1, "b", 0, 0)
 
 
-def test_patterns_in_canonical_order(people):
-    patterns = tc.completeness_patterns(people, ["email", "phone"], "record_id")
-    assert tuples(tc.canonical_order(patterns, ["email", "phone"])) == [
-        ("missing", "missing", 2, 2 / 6),
-        ("present", "present", 2, 2 / 6),
-        ("missing", "present", 1, 1 / 6),
-        ("present", "missing", 1, 1 / 6),
+def test_patterns_in_canonical_order(parcels):
+    patterns = tc.completeness_patterns(parcels, ["sender", "weight"], "parcel")
+    assert tuples(tc.canonical_order(patterns, ["sender", "weight"])) == [
+        ("present", "present", 4, 0.5),
+        ("present", "missing", 2, 0.25),
+        ("missing", "missing", 1, 0.125),
+        ("missing", "present", 1, 0.125),
     ]
-    kept = tc.filter_patterns(patterns, {"email": "missing", "phone": "any"})
+    kept = tc.filter_patterns(patterns, {"sender": "any", "weight": "missing"})
     assert sorted(row["count"] for row in kept.collect()) == [1, 2]
-    assert tuples(tc.top_entries(patterns, ["email", "phone"], limit=1))[0][:2] == ("missing", "missing")
+    assert tuples(tc.top_entries(patterns, ["sender", "weight"], limit=1))[0][:2] == ("present", "present")
 
 
 def test_more_columns_than_bits(text_table):
@@ -138,22 +138,12 @@ def test_preview_keeps_first_rows_in_source_order(text_table):
     assert [row for row in preview if row[0] == "missing"] == [("missing", "present", 1, "8", "n/a", "y")]
 
 
-def claim_in_sequence(statuses, per_pattern, first_limit, extra_limit):
-    kept, first, extra = {}, 0, 0
-    for row, pattern in enumerate(statuses):
-        have = kept.get(pattern, [])
-        if len(have) >= per_pattern:
-            continue
-        if not have:
-            if first >= first_limit:
-                continue
-            first += 1
-        else:
-            if extra >= extra_limit:
-                continue
-            extra += 1
-        kept.setdefault(pattern, []).append(row)
-    return sorted(row for rows in kept.values() for row in rows)
+def rows_within_limits(patterns, per_pattern, first_limit, extra_limit):
+    """The first row of as many patterns as allowed, then further rows of these patterns by position."""
+    places = {p: [i for i, q in enumerate(patterns) if q == p][:per_pattern] for p in set(patterns)}
+    shown = sorted(places.values())[:first_limit]
+    further = sorted(i for rows in shown for i in rows[1:])
+    return sorted([rows[0] for rows in shown] + further[:extra_limit])
 
 
 @pytest.mark.parametrize("first_limit, extra_limit", [(3, 4), (100, 5), (5, 100), (0, 10), (10, 0)])
@@ -165,25 +155,25 @@ def test_preview_limits(text_table, first_limit, extra_limit):
         source, ["a", "b", "c"], "id", first_rows_limit=first_limit, extra_rows_limit=extra_limit
     )
     kept = sorted(int(row.identifier_value) for row in preview.collect())
-    assert kept == claim_in_sequence([tuple(map(bool, r[1:])) for r in rows], 5, first_limit, extra_limit)
+    assert kept == rows_within_limits([tuple(map(bool, r[1:])) for r in rows], 5, first_limit, extra_limit)
 
 
 def test_terms_formats_and_top(text_table):
     source = text_table(
-        ["Employee_ID", "Code"],
-        [["EMP-00001", "A"], ["EMP-00002", " A "], ["EMP-00002", "a"], ["n/a", "EMP-9"], ["", "A"]],
-        {"Employee_ID": ["n/a"]},
+        ["batch", "Code"],
+        [["LOT/117", "A"], ["LOT/118", " A "], ["LOT/118", "a"], ["n/a", "LOT/9"], ["", "A"]],
+        {"batch": ["n/a"]},
     )
-    terms = tc.canonical_order(tc.formal_terms(source, ["Employee_ID"]), ["value"])
+    terms = tc.canonical_order(tc.formal_terms(source, ["batch"]), ["value"])
     assert tuples(terms) == [
-        (0, "Employee_ID", None, 2, 0.4),
-        (0, "Employee_ID", "EMP-00002", 2, 0.4),
-        (0, "Employee_ID", "EMP-00001", 1, 0.2),
+        (0, "batch", None, 2, 0.4),
+        (0, "batch", "LOT/118", 2, 0.4),
+        (0, "batch", "LOT/117", 1, 0.2),
     ]
-    assert tuples(tc.structural_formats(source)) == [(0, "Employee_ID", "EMP-<5 digits>", 3, 2, 0.6)]
-    top = tc.top_terms(source, ["Employee_ID", "Code"], limit=1).orderBy("column_index")
+    assert tuples(tc.structural_formats(source)) == [(0, "batch", "LOT/<3 digits>", 3, 2, 0.6)]
+    top = tc.top_terms(source, ["batch", "Code"], limit=1).orderBy("column_index")
     assert tuples(top) == [
-        (0, "Employee_ID", 1, "EMP-00002", 2, 0.4, 2 / 3),
+        (0, "batch", 1, "LOT/118", 2, 0.4, 2 / 3),
         (1, "Code", 1, "A", 2, 0.4, 0.4),
     ]
     distinct = tc.distinct_terms(source).orderBy("column_index")
@@ -191,14 +181,17 @@ def test_terms_formats_and_top(text_table):
 
 
 def test_group_data_and_uniqueness(text_table):
-    source = text_table(
-        ["id", "Department", "Status"],
-        [["1", "HR", "n/a"], ["2", "HR", ""], ["3", "hr", "ok"], ["4", " ", "ok"], ["5", "", "ok"]],
-        {"Status": ["N/A"]},
-    )
-    groups = tc.canonical_order(tc.group_data(source, ["Department", "Status"]), ["Department", "Status"])
-    assert tuples(groups) == [(None, "ok", 2, 0.4), ("HR", None, 2, 0.4), ("hr", "ok", 1, 0.2)]
-    assert tuples(tc.key_uniqueness(source, ["Department", "Status"])) == [(3, 1, 2, 4, 1 / 3)]
+    stops = [["1", "Red", "A"], ["2", "Red", ""], ["3", "Red", "A"], ["4", "blue", " "], ["5", "", "A"], ["6", "Red", "B"], ["7", "VOID", "A"]]
+    source = text_table(["stop", "line", "zone"], stops, {"line": ["void"]})
+    groups = tc.canonical_order(tc.group_data(source, ["line", "zone"]), ["line", "zone"])
+    assert tuples(groups) == [
+        (None, "A", 2, 2 / 7),
+        ("Red", "A", 2, 2 / 7),
+        ("Red", None, 1, 1 / 7),
+        ("Red", "B", 1, 1 / 7),
+        ("blue", None, 1, 1 / 7),
+    ]
+    assert tuples(tc.key_uniqueness(source, ["line", "zone"])) == [(5, 3, 2, 4, 3 / 5)]
 
 
 def test_summary_sorting_and_filters(text_table):
@@ -218,32 +211,32 @@ def ids(source):
     return [int(row[0]) for row in tc.in_source_order(source).collect()]
 
 
-def test_rows_behind_entries(people):
-    assert ids(tc.rows_with_status(people, "phone", "missing")) == [1, 2, 3]
-    assert ids(tc.rows_with_status(people, "phone", "present")) == [1, 4, 5]
-    assert ids(tc.rows_with_pattern(people, {"email": "missing", "phone": "present"})) == [5]
-    assert ids(tc.rows_with_term(people, "email", None)) == [1, 2, 5]
-    assert ids(tc.rows_with_term(people, "amount", "7")) == [3]
+def test_rows_behind_entries(parcels):
+    assert ids(tc.rows_with_status(parcels, "weight", "missing")) == [2, 3, 6]
+    assert ids(tc.rows_with_status(parcels, "weight", "present")) == [1, 4, 5, 7, 7]
+    assert ids(tc.rows_with_pattern(parcels, {"sender": "missing", "weight": "present"})) == [4]
+    assert ids(tc.rows_with_term(parcels, "sender", None)) == [2, 4]
+    assert ids(tc.rows_with_term(parcels, "weight", "7")) == [4, 5, 7]
     # A marker is never a term of its own.
-    assert ids(tc.rows_with_term(people, "amount", "-")) == []
-    assert ids(tc.rows_in_group(people, {"email": None, "amount": "5"})) == [1]
-    assert ids(tc.rows_with_format(people, "email", "a@x")) == []
-    assert ids(tc.rows_with_format(people, "amount", "<1 digits>")) == [1, 1, 3]
+    assert ids(tc.rows_with_term(parcels, "weight", "unknown")) == []
+    assert ids(tc.rows_in_group(parcels, {"sender": None, "weight": "7"})) == [4]
+    assert ids(tc.rows_with_format(parcels, "sender", "Oslo")) == []
+    assert ids(tc.rows_with_format(parcels, "weight", "<2 digits>")) == [1, 7]
 
 
-def test_row_filters(people):
+def test_row_filters(parcels):
     def filtered(filters):
-        return ids(tc.filter_rows(people, filters))
+        return ids(tc.filter_rows(parcels, filters))
 
-    assert filtered({"email": {"kind": "contains", "value": "@X"}}) == [1, 3, 4]
-    assert filtered({"phone": {"kind": "exact", "value": " N/A "}}) == [2]
-    assert filtered({"phone": {"kind": "missing"}, "amount": {"kind": "exact", "value": "5"}}) == [1]
-    assert filtered({}) == [1, 1, 2, 3, 4, 5] and filtered(None) == [1, 1, 2, 3, 4, 5]
+    assert filtered({"sender": {"kind": "contains", "value": "OS"}}) == [1, 5, 7]
+    assert filtered({"weight": {"kind": "exact", "value": " UNKNOWN "}}) == [3]
+    assert filtered({"weight": {"kind": "missing"}, "note": {"kind": "exact", "value": "fragile"}}) == [2, 6]
+    assert filtered({}) == filtered(None) == [1, 2, 3, 4, 5, 6, 7, 7]
     bad = [
-        {"x": {"kind": "missing"}}, {"email": {"kind": "contains", "value": ""}}, {"email": "x"}, [],
-        {"email": {"kind": "missing", "value": "x"}}, {"email": {"kind": "exact"}}, {"email": {"kind": "like", "value": "x"}},
-        {1: {"kind": "missing"}}, {"email": {"kind": "exact", "value": 1}},
-        {"email": {"kind": "exact", "value": "x", "more": 1}},
+        {"x": {"kind": "missing"}}, {"sender": {"kind": "contains", "value": ""}}, {"sender": "x"}, [],
+        {"sender": {"kind": "missing", "value": "x"}}, {"sender": {"kind": "exact"}}, {"sender": {"kind": "like", "value": "x"}},
+        {1: {"kind": "missing"}}, {"sender": {"kind": "exact", "value": 1}},
+        {"sender": {"kind": "exact", "value": "x", "more": 1}},
     ]
     for filters in bad:
         with pytest.raises(RowFilterError):
@@ -272,6 +265,23 @@ def test_deep_pages_take_the_numbered_way(spark):
     assert tc.page(source, 1201).count() == 0
 
 
+def test_deep_pages_over_ties_are_full_and_disjoint(spark):
+    df = spark.range(0, 60_000, 1, 7).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    source = tc.table(df.union(df.where("v < 100")), order_by=["k"])
+    numbered = tc.number_rows(source)
+    pages = [[(row.k, row.v) for row in tc.page_of_numbered(source, numbered, n).collect()] for n in (401, 402, 403, 404)]
+    assert [len(p) for p in pages] == [50] * 4
+    assert [k for p in pages for k, _ in p] == sorted(k for p in pages for k, _ in p)
+    # Deep and shallow pages number the rows alike.
+    assert pages[0] == [(row.k, row.v) for row in tc.page(source, 401).collect()]
+    assert pages[2] == [(row.k, row.v) for row in tc.page(source, 403).collect()]
+    rows = [row for p in pages for row in p]
+    assert len(set(rows)) == 200 - (rows.count((99, 99)) == 2)
+    first = [(row.k, row.v) for n in range(1, 6) for row in tc.page(source, n).collect()]
+    # k = 0 has 200 rows of its own and row 0 once more: equal rows are shown as often as they occur.
+    assert first.count((0, 0)) == 2 and len(set(first)) == 248 + (first.count((1, 1)) < 2)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab1290<> digits\\E.-\n", max_size=14), st.text(alphabet="a1<> digits5", max_size=14))
 def test_format_regex_describes_exactly_one_format(value, other):

@@ -230,31 +230,25 @@ def test_case_and_trim(text_table):
 
 
 def test_rules_run_in_order_and_names_stay_unique(text_table):
-    source = text_table(
-        ["id", "created_at", "code"],
-        [["1", "13/06/26: 14:30:00", "EMP_1001"], ["2", "14/06/26: 09:00:00", "EMP_1002"], ["3", "invalid", "NO-DELIM"]],
-    )
+    sightings = [["a", "2026.03.01|08:15", "hall_7"], ["b", "2026.03.02|x", "hall_12"], ["c", "2026.03.05|", "yard"], ["d", "none", "gate_30"]]
+    source = text_table(["sku", "seen", "place"], sightings)
     rules = [
-        {"id": "r1", "source_column": "created_at", "target_column": "code", "transform_type": "date_truncate",
-         "config": {"delimiter": ":"}},
-        {"source_column": "code", "target_mode": "overwrite", "transform_type": "delimiter_split"},
-        {"source_column": "code_1", "transform_type": "substring", "config": {"count": 2}},
+        {"id": "day", "source_column": "seen", "target_column": "place", "transform_type": "date_truncate",
+         "config": {"delimiter": "|"}},
+        {"source_column": "place", "target_mode": "overwrite", "transform_type": "delimiter_split"},
+        {"source_column": "place_1", "transform_type": "substring", "config": {"count": 2}},
         {"source_column": "absent", "transform_type": "case_trim"},
     ]
     result = transform(source, rules)
-    assert result.names == ("id", "created_at", "code", "code_1", "code_1_transformed")
-    rows = [tuple(row) for row in result.to_df().collect()]
-    assert rows == [
-        ("1", "13/06/26: 14:30:00", "1001", "13/06/26", "13"),
-        ("2", "14/06/26: 09:00:00", "1002", "14/06/26", "14"),
-        ("3", "invalid", "NO-DELIM", "invalid", "in"),
-    ]
+    assert result.names == ("sku", "seen", "place", "place_1", "place_1_transformed")
+    changed = [tuple(row)[2:] for row in result.to_df().orderBy("sku").collect()]
+    assert changed == [("7", "2026.03.01", "20"), ("12", "2026.03.02", "20"), ("yard", "2026.03.05", "20"), ("30", "none", "no")]
     stats = [tuple(row) for row in transform_statistics(source, rules).collect()]
     assert stats == [
-        (0, "r1", 2, 1, 0, 3),
-        (1, "rule_code", 2, 1, 0, 3),
-        (2, "rule_code_1", 3, 0, 0, 3),
-        (3, "rule_absent", 0, 0, 0, 3),
+        (0, "day", 3, 1, 0, 4),
+        (1, "rule_place", 3, 1, 0, 4),
+        (2, "rule_place_1", 4, 0, 0, 4),
+        (3, "rule_absent", 0, 0, 0, 4),
     ]
 
 
