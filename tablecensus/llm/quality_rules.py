@@ -156,6 +156,8 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without the rejected documents, all columns kept."""
     packed = docs.select(F.struct("*").alias("_row"))
     packed = packed.select("_row", F.col("_row.text").alias("text"), F.col("_row.lang").alias("lang"))
-    refs = stored(references(with_counts(packed.drop("_row"))), "quality-references")
-    counted = with_counts(packed)
-    return with_verdict(counted, refs, **limits).where("_v.kept").select("_row.*")
+    # Both are written: a filter on the verdict would else repeat the counting in each of its terms.
+    counted = stored(with_counts(packed).select("_row", "_q"), "quality-counts")
+    refs = stored(references(counted.select("_q")), "quality-references")
+    judged = stored(with_verdict(counted, refs, **limits).select("_row", F.col("_v.kept").alias("_keep")), "quality-verdicts")
+    return judged.where("_keep").select("_row.*")
