@@ -3,8 +3,8 @@
 The k-mers of a document are its windows of five words, each with the number of its occurrence. A
 sketch takes the few k-mers with the least hash and keeps them in text order, so that documents agree
 on a sketch when they share these k-mers in the same order. Documents that agree on a sketch are
-compared with one representative of it; similarity is the share of k-mers that an alignment within a
-band of diagonals matches in order.
+compared with one representative of it, then with all others of it that are not yet in their class;
+similarity is the share of k-mers that an alignment within a band of diagonals matches in order.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 WORDS = 5
 ROWS = 500
+#: Members of a block of a bucket, and bits of the set that bounds what two texts can share.
+BLOCK, BITS = 256, 2048
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -155,8 +157,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = 0.8, n_sketches: int = 40, per_sketch: int = 4) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links, n_same.
 
-    ``n_links`` counts verified links of the document's text to other texts, ``n_same`` the rows with
-    the same text. Texts without a word form one class. Rows without a doc_id belong to the class of
+    ``n_links`` counts verified links of the document's text to other texts (two texts that other links
+    tied together first are not compared), ``n_same`` the rows with the same text. Texts without a word form one class. Rows without a doc_id belong to the class of
     their text if another row with that text has one, else class_id is null. Rows with equal doc_id
     are one document. An empty table gives an empty result.
     """
@@ -174,37 +176,124 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, n_sketches: int = 40, p
     return keys.select("_id", "_th").join(texts, "_th").select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_same", "_th")
 
 
+def bounds(texts: DataFrame) -> DataFrame:
+    """``a``, the number ``m`` of k-mers, and the set ``bits`` of their hashes modulo ``BITS``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                sizes, sets = [], []
+                for t in batch.column(1):
+                    kmers = labelled_kmers(t.as_py())
+                    held = np.zeros(BITS, bool)
+                    held[(kmers % np.uint64(BITS)).astype(np.int64)] = True
+                    sizes.append(len(kmers))
+                    sets.append(np.packbits(held).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], ["a", "m", "bits"])
+
+    return texts.select("_id", "_text").mapInArrow(work, "a long, m int, bits binary")
+
+
+def met(x: np.ndarray, y: np.ndarray, s: int, roots: np.ndarray, m: np.ndarray, bits: np.ndarray, keys: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of the members ``x, y`` of a bucket of sketch ``s`` may be links of two classes.
+
+    A pair is reported by the first sketch it shares only. Bits that one text alone has are k-mers
+    without a match, so a pair that is left out cannot reach ``least``.
+    """
+    at = np.flatnonzero(roots[x] != roots[y])
+    if s:
+        at = at[~(keys[x[at], :s] == keys[y[at], :s]).any(axis=1)]
+    x, y = x[at], y[at]
+    most = m[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64)
+    most = np.minimum(most, m[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
+    return at[most >= least * (m[x] + m[y] - most) - 1e-9]
+
+
+def across(members: DataFrame, least: float, n_sketches: int) -> DataFrame:
+    """Pairs ``a, b`` of members of one bucket and different classes that may be links.
+
+    A bucket is cut into blocks; each pair of blocks is compared where its key puts it, so the
+    members of a large bucket spread over many tasks.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", "own", "a", "root", "m", "bits", "keys")
+    cut = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple[int, ...] | None = None
+
+        def numbers(table: pa.Table, name: str) -> np.ndarray:
+            return table.column(name).to_numpy().astype(np.int64)
+
+        def compare() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            first, second, own, ids, roots, m, s = (numbers(table, c) for c in ("i", "j", "own", "a", "root", "m", "s"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+            keys = pa.concat_arrays(table.column("keys").chunks).flatten().to_numpy().reshape(len(ids), n_sketches)
+            key = numbers(table, "key")
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            for lo, hi in zip(start, np.r_[start[1:], len(ids)], strict=True):
+                row = np.arange(lo, hi)
+                same = first[lo] == second[lo]
+                left, right = (row, row) if same else (row[own[lo:hi] == first[lo]], row[own[lo:hi] == second[lo]])
+                for at in range(0, len(left), 32):
+                    x, y = (g.ravel() for g in np.meshgrid(left[at : at + 32], right, indexing="ij"))
+                    if same:
+                        x, y = x[x < y], y[x < y]
+                    pick = met(x, y, int(s[lo]), roots, m, bits, keys, least)
+                    if len(pick):
+                        p, q = ids[x[pick]], ids[y[pick]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+
+        # A group can go on in the next batch: its rows are held until it ends.
+        for batch in batches:
+            group = [batch.column(c).to_pylist() for c in range(3)]
+            group = list(zip(*group, strict=True))
+            ends = [k for k, g in enumerate(group) if g != (group[k - 1] if k else last)]
+            if not ends:
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, ends[-1]))
+            if sum(h.num_rows for h in held):
+                yield from compare()
+            held, last = [batch.slice(ends[-1])], group[-1]
+        if held:
+            yield from compare()
+
+    return cut.mapInArrow(work, "a long, b long")
+
+
 def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> DataFrame:
-    """Verified links ``a, b`` between representatives, ``b`` the smaller."""
+    """Verified links ``a, b`` between representatives, ``b`` the smaller.
+
+    Any two texts that share a sketch and reach ``least`` are tied together: each text is compared with
+    one representative of its buckets, and texts of different classes in a bucket with each other.
+    """
     spread = same.where("rep is not null and keys is not null").select(F.col("rep").alias("a"), F.col("keys"))
     rows = spread.select("a", F.posexplode("keys").alias("s", "key"))
     # Only sketches that two texts share go on; counts are combined before the shuffle.
-    shared = rows.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
-    open_rows = stored(rows.join(shared, "key").where("a <> b").select("a", "b", "key", "s", "n"), "near-candidates")
-    ids = open_rows.select("a").union(open_rows.select(F.col("b").alias("a"))).distinct()
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(rows.join(shared, "key").select("a", "key", "s", "n"), "near-members")
+    # The text that meets most others speaks for a bucket: an original with edited copies links them.
+    weight = stored(members.groupBy("a").agg(F.sum("n").alias("w")), "near-weights")
+    lead = members.join(weight, "a").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "a"))["a"].alias("lead"))
+    first = members.join(lead, "key").where("a <> lead").select(F.greatest("a", "lead").alias("a"), F.least("a", "lead").alias("b")).distinct()
     texts = keyed(docs).where("_id is not null").select("_id", "_th", "_text")
-    wanted = same.select(F.col("rep").alias("_id"), "_th").join(ids.withColumnRenamed("a", "_id"), "_id", "left_semi")
+    wanted = same.select(F.col("rep").alias("_id"), "_th").join(weight.select(F.col("a").alias("_id")), "_id", "left_semi")
     texts = stored(texts.join(wanted, ["_id", "_th"], "left_semi").dropDuplicates(["_id"]), "near-candidate-texts")
-    done = stored(verified(open_rows.select("a", "b").distinct(), texts, least), "near-verified-0")
-    # Only texts unlike a representative need all their keys again.
-    unlike = done.where("not ok").select("a").distinct()
-    open_keys = stored(spread.join(unlike, "a", "left_semi").select("a", "keys"), "near-unlike")
-    found, round_ = done, 0
-    while True:
-        # Members unlike their representative meet again where they agree on the next sketch, too:
-        # one row stays one row, and buckets shrink to texts that agree on ever more sketches. A
-        # bucket that all sketches leave together loses its representative in every round.
-        failed = open_rows.where("n > 2").join(done.where("not ok"), ["a", "b"], "left_semi")
-        failed = failed.select("a", "key", ((F.col("s") + 1) % n_sketches).alias("s")).join(open_keys, "a")
-        failed = failed.select("a", F.xxhash64("key", F.col("keys")[F.col("s")]).alias("key"), "s")
-        round_ += 1
-        rest = failed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
-        open_rows = stored(failed.join(rest, "key").where("a <> b").select("a", "b", "key", "s", "n"), f"near-open-{round_}")
-        pairs = open_rows.select("a", "b").distinct()
-        if not open_rows.limit(1).count():
-            return found.where("ok").select("a", "b").distinct()
-        fresh = stored(verified(pairs.join(found, ["a", "b"], "left_anti"), texts, least), f"near-verified-{round_}")
-        found = done = found.union(fresh)
+    done = stored(verified(first, texts, least), "near-verified")
+    label = components(done.where("ok").select("a", "b"), "near-first").withColumnRenamed("node", "a")
+    rooted = stored(members.join(label, "a", "left").select("a", "key", "s", "n", F.coalesce("root", "a").alias("root")), "near-rooted")
+    # Buckets of one class are settled; in the others all members stay, linked or not.
+    mixed_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    left = stored(rooted.join(mixed_, "key", "left_semi"), "near-open")
+    whole = bounds(texts.join(left.select(F.col("a").alias("_id")).distinct(), "_id", "left_semi")).join(spread, "a")
+    pairs = stored(across(left.join(whole, "a"), least, n_sketches), "near-across")
+    rest = stored(verified(pairs.join(done, ["a", "b"], "left_anti"), texts, least), "near-verified-across")
+    return done.union(rest).where("ok").select("a", "b").distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

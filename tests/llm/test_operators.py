@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,32 @@ def test_near_copies_meet_and_others_do_not(spark, documents):
     assert kept == [0, 10, 11, 13, 15]
 
 
+@pytest.mark.parametrize("copies", [300, 1000])
+def test_near_links_equal_brute_force_around_a_hub(spark, documents, copies):
+    # The copies are 0.85 like the base and less than 0.8 like each other; the id of the base is in the middle.
+    base, r, middle = prose(4, 304).split(), random.Random(6), copies // 2
+    texts = []
+    for i in range(copies + 1):
+        words = list(base)
+        if i != middle:
+            begin = r.randrange(8)
+            for k in range(5):
+                words[begin + 60 * k + r.randrange(50)] = f"edit{i}x{k}"
+        texts.append(" ".join(words))
+    with np.errstate(over="ignore"):
+        kmers = [near_dedup.labelled_kmers(t) for t in texts]
+        keys = np.array([near_dedup.order_minhash(k, 40, 4) for k in kmers])
+        like = lambda i, j: near_dedup.aligned_share(kmers[i], kmers[j], 0.8) >= 0.8
+        linked = {(i, j) for i in range(copies + 1) for j in np.flatnonzero((keys[:i] == keys[i]).any(axis=1)).tolist() if like(i, j)}
+    root = list(range(copies + 1))
+    while any(root[i] != root[j] for i, j in linked):
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    assert root.count(root[middle]) > copies * 0.9
+    out = near_dedup.near_duplicates(documents(list(enumerate(texts)))).collect()
+    assert {x.doc_id: x.class_id for x in out} == dict(enumerate(root))
+
+
 def edits(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
