@@ -131,18 +131,20 @@ def heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-ANCHOR = [np.uint64, np.uint32, np.uint16, np.uint8, np.uint8, np.int64, np.uint16, np.uint32]
-STRING = [np.uint64, np.uint32, np.int64, np.uint16, np.uint32]
-PLACES = "_id long, _v int, pos int, kind int"
+ANCHOR = [np.uint64, np.uint32, np.uint16, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.uint32]
+STRING = [np.uint64, np.uint32, np.int64, np.int64, np.int64, np.uint32]
+#: A text: its doc_id, and two hashes of it where rows share a doc_id or have none.
+TEXT = ["_id", "_v", "_w"]
+PLACES = "_id long, _v long, _w long, pos int, kind int"
 COVERED, OPEN, WINDOW = 0, 1, 2
 
 
-def places(ids, versions, pos, kind) -> Iterator[pa.RecordBatch]:
+def places(ids, v, w, pos, kind) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(ids), 50_000):
         part = slice(at, at + 50_000)
         n = len(ids[part])
-        columns = [pa.array(ids[part]), pa.array(versions[part].astype(np.int32)), pa.array(pos[part].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.broadcast_to(kind, len(ids))[part][:n].astype(np.int32))], ["_id", "_v", "pos", "kind"])
+        columns = [pa.array(ids[part]), pa.array(v[part]), pa.array(w[part]), pa.array(pos[part].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.broadcast_to(kind, len(ids))[part][:n].astype(np.int32))], [*TEXT, "pos", "kind"])
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -160,8 +162,8 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, versions, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-                for i, v, t in zip(ids, versions, texts, strict=True):
+                keys = [batch.column(k).to_pylist() for k in range(3)]
+                for i, v, w, t in zip(*keys, batch.column(3), strict=True):
                     data = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                     for start in range(0, max(1, len(data) - length + 1), CHUNK):
                         # Pieces overlap by a whole context on both sides of what they report.
@@ -180,7 +182,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                         k = len(at)
                         held.append(
                             [g, (c >> np.uint64(32)).astype(np.uint32), c.astype(np.uint16), lh.astype(np.uint8), rh.astype(np.uint8),
-                             np.full(k, i, np.int64), np.full(k, v, np.uint16), (at + lo).astype(np.uint32)]
+                             np.full(k, i, np.int64), np.full(k, v, np.int64), np.full(k, w, np.int64), (at + lo).astype(np.uint32)]
                         )
                         n += k
                         if n >= HELD:
@@ -198,18 +200,18 @@ def settle(blobs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for b in batches for x in b.column(1).to_pylist()]
-        g, c1, c2, lh, rh, ids, versions, pos = unpack(got, ANCHOR)
+        g, c1, c2, lh, rh, ids, v, w, pos = unpack(got, ANCHOR)
         del got
         if not len(g):
             return
         c = (c1.astype(np.uint64) << np.uint64(16)) | c2
         order = np.lexsort((ids, c, g))
-        g, c, lh, rh, ids, versions, pos = (a[order] for a in (g, c, lh, rh, ids, versions, pos))
+        g, c, lh, rh, ids, v, w, pos = (a[order] for a in (g, c, lh, rh, ids, v, w, pos))
         start = heads(g, c)
         size = np.diff(np.r_[start, len(g)])
         first = ids[start]
         later = ids != np.repeat(first, size)
-        yield from places(ids[later], versions[later], pos[later], COVERED)
+        yield from places(ids[later], v[later], w[later], pos[later], COVERED)
         # Contexts of one block that agree on the block and one side may share a string.
         block = np.cumsum(np.r_[True, g[start][1:] != g[start][:-1]])
 
@@ -219,13 +221,13 @@ def settle(blobs: DataFrame) -> DataFrame:
             return n[inverse] > 1
 
         open_ = np.repeat(shared(lh) | shared(rh), size) & ~later
-        yield from places(ids[open_], versions[open_], pos[open_], OPEN)
+        yield from places(ids[open_], v[open_], w[open_], pos[open_], OPEN)
 
     return blobs.mapInArrow(work, PLACES)
 
 
 def strings(docs: DataFrame, length: int) -> DataFrame:
-    """The strings through open places (``_id, _v, z, places``), in blobs by bucket."""
+    """The strings through open places (``_id, _v, _w, z, places``), in blobs by bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
@@ -233,7 +235,7 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
         n = 0
         with np.errstate(over="ignore"):
             for batch in batches:
-                for i, v, z, at in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                for i, v, w, z, at in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                     data = np.frombuffer(unzip(z), np.uint8)
                     a = np.unique(np.array(at, np.int64))
                     begin = (a[:, None] - np.arange(length - BLOCK + 1)).ravel()
@@ -244,7 +246,8 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
                             continue
                         powers = Powers(data[lo : lo + CHUNK + length], BLOCK * 2)
                         w1, w2 = powers.at(p - lo, length, 5), powers.at(p - lo, length, 6)
-                        held.append([w1, w2.astype(np.uint32), np.full(len(p), i, np.int64), np.full(len(p), v, np.uint16), p.astype(np.uint32)])
+                        same = [np.full(len(p), x, np.int64) for x in (i, v, w)]
+                        held.append([w1, w2.astype(np.uint32), *same, p.astype(np.uint32)])
                         n += len(p)
                         if n >= HELD:
                             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -262,14 +265,14 @@ def compared(blobs: DataFrame) -> DataFrame:
     """Starts of strings that also start in a document with a smaller id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w1, w2, ids, versions, pos = unpack([x for b in batches for x in b.column(1).to_pylist()], STRING)
+        w1, w2, ids, v, w, pos = unpack([x for b in batches for x in b.column(1).to_pylist()], STRING)
         if not len(w1):
             return
         order = np.lexsort((ids, w2, w1))
-        w1, w2, ids, versions, pos = (a[order] for a in (w1, w2, ids, versions, pos))
+        w1, w2, ids, v, w, pos = (a[order] for a in (w1, w2, ids, v, w, pos))
         start = heads(w1, w2)
         later = ids != np.repeat(ids[start], np.diff(np.r_[start, len(w1)]))
-        yield from places(ids[later], versions[later], pos[later], WINDOW)
+        yield from places(ids[later], v[later], w[later], pos[later], WINDOW)
 
     return blobs.mapInArrow(work, PLACES)
 
@@ -280,10 +283,10 @@ def zipped(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            z = [squeeze(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["_id", "_v", "z"])
+            z = [squeeze(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(z, pa.binary())], [*TEXT, "z"])
 
-    return docs.mapInArrow(work, "_id long, _v int, z binary")
+    return docs.mapInArrow(work, "_id long, _v long, _w long, z binary")
 
 
 def exchanged(blobs: DataFrame) -> DataFrame:
@@ -301,15 +304,21 @@ def substring_dedup(docs: DataFrame, length: int = 50, with_text: bool = False)
     if length < 2 * BLOCK:
         raise ValueError(f"length must be at least {2 * BLOCK}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("_id"), (F.crc32(text) % 65536).cast("int").alias("_v"), text.alias("_t"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("_id"), text.alias("_t"))
+    # Zeros, which compress away, where the doc_id alone names the text.
+    ids = keyed.where(f"_id <> {NO_ID}").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = keyed.join(stored(ids.select("_id", F.lit(True).alias("several")), "substring-ids"), "_id", "left")
+    shared = (F.col("_id") == int(NO_ID)) | F.coalesce("several", F.lit(False))
+    digests = [F.when(shared, h).otherwise(F.lit(0)).cast("long") for h in (F.xxhash64("_t"), F.xxhash64(F.lit(1), "_t"))]
+    keyed = keyed.select("_id", digests[0].alias("_v"), digests[1].alias("_w"), "_t")
     marks = stored(settle(exchanged(anchors(keyed, length))), "substring-places")
-    some = marks.where(f"kind = {OPEN}").groupBy("_id", "_v").agg(F.collect_set("pos").alias("places"))
+    some = marks.where(f"kind = {OPEN}").groupBy(*TEXT).agg(F.collect_set("pos").alias("places"))
     texts = zipped(keyed)
-    todo = texts.join(some, ["_id", "_v"]).select("_id", "_v", "z", "places")
+    todo = texts.join(some, TEXT).select(*TEXT, "z", "places")
     windows = stored(compared(exchanged(strings(todo, length))), "substring-windows")
-    all_ = marks.where(f"kind = {COVERED}").union(windows).groupBy("_id", "_v")
+    all_ = marks.where(f"kind = {COVERED}").union(windows).groupBy(*TEXT)
     covers = all_.agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("pos"))).alias(n) for n, k in (("c", COVERED), ("w", WINDOW))])
-    joined = texts.join(covers, ["_id", "_v"], "left").select("_id", "z", "c", "w")
+    joined = texts.join(covers, TEXT, "left").select("_id", "z", "c", "w")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -41,6 +42,24 @@ def test_substrings_equal_brute_force(spark, documents):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_substrings_of_texts_under_one_id_or_none(spark, documents, doc_id):
+    # 600 texts of one crc32 modulo 2^16 and of unequal lengths; each second one holds a string of document 1.
+    passage, rows = prose(3, 30), []
+    want = [(1, 0, passage)]
+    crc = lambda t: zlib.crc32(t.encode()) % 65536
+    endings = {crc(e): e for e in (f"{i:08d}" for i in range(1_000_000))}
+    for i in range(600):
+        own, tail = f"{i}" + "é" * (i % 50) + "\n", passage[: 60 + i % 40] if i % 2 else ""
+        # crc32 is linear: the ending that moves it to 99.
+        end = endings[crc(own + tail + "0" * 8) ^ crc("0" * 8) ^ 99]
+        assert crc(own + tail + end) == 99
+        rows.append((doc_id, own + tail + end))
+        want.append((doc_id, len(tail), own + end))
+    got = substring_dedup.substring_dedup(documents([(1, passage), *rows]), with_text=True).collect()
+    assert sorted(((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_token_counts_equal_the_library(spark, documents):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
