@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .personal_data import ACCOUNT_CUES, KINDS, spellings
 from .quality_rules import CLASSES, COMMON_WORDS, SYMBOLS
 from .url_filters import RULES
 
@@ -147,9 +148,72 @@ def quality_rules_sql(max_class: float = 0.25, max_word: float = 0.27, min_words
              (not base_failed and not (coalesce(dc, 0) > {max_class} or coalesce(dw, 0) > {max_word})) as kept from judged"""
 
 
+def personal_data_sql() -> str:
+    """Every kind is marked by a pattern with characters for private use, then located by lengths of parts."""
+    account = "|".join(s for word in ACCOUNT_CUES for s in spellings(word))
+    patterns = {
+        "email": ("", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": ("", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(body, '.'), lambda p: len(ltrim(p, '0')) > 3 or coalesce(try_cast(p as integer), 0) > 255)) = 0"),
+        "card": ("", r"[0-9](?:[\x20-]?[0-9])+", "len(digits) between 14 and 19 and list_sum(list_transform(range(1, len(digits) + 1), lambda i: case when (len(digits) - i) % 2 = 0 then digits[i] else 2 * digits[i] - 9 * (digits[i] > 4)::int end)) % 10 = 0"),
+        "phone": ("", r"\+[0-9][\x20().0-9-]+[0-9]", "len(digits) between 10 and 15"),
+        "login": ("", r"[A-Za-z][A-Za-z0-9+.-]*://[^\x20\t\n\v\f\r/?#\x22\x27<>]+", "regexp_matches(body, '://.+@[^@]+$')"),
+        "iban": ("(?:iban|Iban|IBAN)[\\x20:#.=]*", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])*", "len(replace(body, ' ', '')) between 15 and 34 and list_reduce(list_prepend(0, list_transform(string_split(substr(replace(body, ' ', ''), 5) || substr(replace(body, ' ', ''), 1, 4), ''), lambda c: case when c between '0' and '9' then c::int else ascii(c) - 55 end)), lambda r, v: case when v > 9 then (r * 100 + v) % 97 else (r * 10 + v) % 97 end) = 1"),
+        "account": (f"(?:{account})[\\x20:#.=]*", r"[0-9](?:[\x20-]?[0-9])*", "len(digits) between 6 and 18"),
+    }
+    kinds = " union all ".join(
+        f"""select r, {KINDS.index(kind)} as k, '{kind}' as kind, string_split(regexp_replace(body, '({pre})({body})', '\\1' || chr(57344) || '\\2' || chr(57345), 'g'), chr(57344)) as parts from docs"""
+        for kind, (pre, body, _) in patterns.items()
+    )
+    valid = " ".join(f"when '{kind}' then {test}" for kind, (_, _, test) in patterns.items())
+    base = [f"count(*) filter (where kind = '{kind}')::bigint as n_{kind}" for kind in KINDS[:4]]
+    return f"""
+      with docs as (
+        select row_number() over () as r, doc_id, translate(coalesce(text, ''), chr(57344) || chr(57345), chr(57346) || chr(57346)) as body from documents),
+      pieces as (select r, k, kind, unnest(parts) as part, generate_subscripts(parts, 1) as i from ({kinds}) where len(parts) > 1),
+      placed as (
+        select r, k, kind, i, split_part(part, chr(57345), 1) as body,
+               coalesce(sum(len(part) - (i > 1)::int) over (partition by r, k order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start
+        from pieces),
+      spans as (
+        select *, kind || ':' || start || ':' || (start + len(body)) as span
+        from (select *, list_transform(list_filter(string_split(body, ''), lambda c: c between '0' and '9'), lambda c: c::int) as digits from placed where i > 1)
+        where case kind {valid} end),
+      told as (
+        select r, {", ".join(base)},
+               coalesce(string_agg(span, ',' order by start, k) filter (where k < 4), '') as base, string_agg(span, ',' order by start, k) as spans
+        from spans group by r)
+      select doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in KINDS[:4])},
+             sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+      from docs left join told on docs.r = told.r"""
+
+
+def hard_negatives_sql(positives: int = 5, negatives: int = 5, every: int = 100) -> str:
+    return f"""
+      with sound as (
+        select vec_id, embedding, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+      base as (
+        select *, row_number() over () as k from (
+          select distinct vec_id, label, list_transform(embedding, lambda c: floor(c::double * 256)) as x from sound
+          where len(embedding) = (select len(embedding) from sound group by 1 order by count(*) desc, 1 desc limit 1))),
+      scored as (
+        select a.k, a.vec_id as anchor_id, c.vec_id as other_id, list_dot_product(a.x, c.x)::bigint as score, a.label = c.label as same
+        from base a, base c where a.vec_id % {every} = 0),
+      near as (
+        select k, anchor_id, other_id, score from scored where same and other_id is distinct from anchor_id
+        qualify row_number() over (partition by k order by score desc, other_id) <= {positives})
+      select n.anchor_id, n.other_id as positive_id,
+             row_number() over (partition by n.k, n.other_id, n.score order by s.score desc, s.other_id)::int as rank,
+             s.other_id as negative_id, n.score as positive_score, s.score as negative_score
+      from near n join scored s on n.k = s.k and not s.same and 80 * n.score <= 100 * s.score and 100 * s.score <= 100 * n.score
+      qualify row_number() over (partition by n.k, n.other_id, n.score order by s.score desc, s.other_id) <= {negatives}"""
+
+
 ORACLES = {
     "op1_line_dedup": line_dedup_sql(),
     "op2_mixing": mixing_sql(),
     "op6_url_filters": url_filters_sql(),
     "op9_quality_rules": quality_rules_sql(),
+    "op12_personal_data": personal_data_sql(),
+    "op13_hard_negatives": hard_negatives_sql(),
 }

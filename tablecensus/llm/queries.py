@@ -7,7 +7,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality_model, quality_rules, substring_dedup, tokens, toxicity, url_filters
+from . import (
+    decontamination,
+    hard_negatives,
+    line_dedup,
+    mixing,
+    near_dedup,
+    personal_data,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+    tokens,
+    toxicity,
+    url_filters,
+    whitening,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +76,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(read(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1,
     "op2_mixing": op2,
@@ -73,4 +99,7 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_quality_rules": op9,
     "op10_decontamination": op10,
+    "op11_whitening": op11,
+    "op12_personal_data": op12,
+    "op13_hard_negatives": op13,
 }

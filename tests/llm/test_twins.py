@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_mixing", "op6_url_filters", "op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_mixing", "op6_url_filters", "op9_quality_rules", "op12_personal_data", "op13_hard_negatives"])
 def test_query_equals_sql(spark, driver, sf_dir, name):
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
