@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,10 @@ from .shared import stored
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = 16
-#: Hash buckets of the exchange; a partition takes whole buckets.
+#: Hash buckets of the exchange, at least; a task works off one bucket after the other.
 BUCKETS = 1024
 #: Bytes of text in numpy arrays at once, and sampled positions held before they are sent.
-CHUNK, HELD = 4 << 20, 1 << 20
+CHUNK, HELD = 1 << 20, 1 << 19
 #: Place of rows without a doc_id: after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -113,15 +114,20 @@ def unpack(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(out, kinds, strict=True)]
 
 
-def by_bucket(columns: list[np.ndarray], key: np.ndarray) -> Iterator[pa.RecordBatch]:
-    bucket = (key >> np.uint64(54)).astype(np.int64)
+def by_bucket(columns: list[np.ndarray], key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     columns = [c[order] for c in columns]
-    rows = [(b, pack([c[ends[b] : ends[b + 1]] for c in columns])) for b in range(BUCKETS) if ends[b] < ends[b + 1]]
+    rows = [(b, pack([c[ends[b] : ends[b + 1]] for c in columns])) for b in np.flatnonzero(np.diff(ends)).tolist()]
     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "data"])
 
 
+def buckets_of(df: DataFrame) -> int:
+    """More buckets than partitions, so that a bucket shrinks where the partitions of a larger job do."""
+    return max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def heads(*columns: np.ndarray) -> np.ndarray:
     """Starts of runs of equal rows."""
     fresh = np.zeros(len(columns[0]), bool)
@@ -139,18 +145,16 @@ PLACES = "_id long, _v long, _w long, pos int, kind int"
 COVERED, OPEN, WINDOW = 0, 1, 2
 
 
-def places(ids, v, w, pos, kind) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(ids), 50_000):
-        part = slice(at, at + 50_000)
-        n = len(ids[part])
-        columns = [pa.array(ids[part]), pa.array(v[part]), pa.array(w[part]), pa.array(pos[part].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.broadcast_to(kind, len(ids))[part][:n].astype(np.int32))], [*TEXT, "pos", "kind"])
+def places(ids, v, w, pos, kind: int) -> pa.Table:
+    columns = [pa.array(ids), pa.array(v), pa.array(w), pa.array(pos.astype(np.int32)), pa.array(np.full(len(ids), kind, np.int32))]
+    return pa.table(columns, names=[*TEXT, "pos", "kind"])
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
     """Sampled positions with the hashes of their block, context and both sides, in blobs by bucket."""
     side = (length - BLOCK + 1) // 2
     reach = length - BLOCK
+    buckets = buckets_of(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -158,7 +162,8 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            yield from by_bucket(columns, columns[0])
+            held.clear()
+            yield from by_bucket(columns, columns[0], buckets)
 
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -187,7 +192,6 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                         n += k
                         if n >= HELD:
                             yield from flush()
-                            held.clear()
                             n = 0
             if held:
                 yield from flush()
@@ -198,12 +202,8 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 def settle(blobs: DataFrame) -> DataFrame:
     """Places covered by equal contexts, and places whose block continues differently elsewhere."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for b in batches for x in b.column(1).to_pylist()]
-        g, c1, c2, lh, rh, ids, v, w, pos = unpack(got, ANCHOR)
-        del got
-        if not len(g):
-            return
+    def work(bucket: pa.Table) -> pa.Table:
+        g, c1, c2, lh, rh, ids, v, w, pos = unpack(bucket.column("data").to_pylist(), ANCHOR)
         c = (c1.astype(np.uint64) << np.uint64(16)) | c2
         order = np.lexsort((ids, c, g))
         g, c, lh, rh, ids, v, w, pos = (a[order] for a in (g, c, lh, rh, ids, v, w, pos))
@@ -211,7 +211,7 @@ def settle(blobs: DataFrame) -> DataFrame:
         size = np.diff(np.r_[start, len(g)])
         first = ids[start]
         later = ids != np.repeat(first, size)
-        yield from places(ids[later], v[later], w[later], pos[later], COVERED)
+        covered = places(ids[later], v[later], w[later], pos[later], COVERED)
         # Contexts of one block that agree on the block and one side may share a string.
         block = np.cumsum(np.r_[True, g[start][1:] != g[start][:-1]])
 
@@ -221,27 +221,39 @@ def settle(blobs: DataFrame) -> DataFrame:
             return n[inverse] > 1
 
         open_ = np.repeat(shared(lh) | shared(rh), size) & ~later
-        yield from places(ids[open_], v[open_], w[open_], pos[open_], OPEN)
+        return pa.concat_tables([covered, places(ids[open_], v[open_], w[open_], pos[open_], OPEN)])
 
-    return blobs.mapInArrow(work, PLACES)
+    return blobs.groupBy("bucket").applyInArrow(work, PLACES)
 
 
 def strings(docs: DataFrame, length: int) -> DataFrame:
     """The strings through open places (``_id, _v, _w, z, places``), in blobs by bucket."""
+    buckets = buckets_of(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
         held: list[list[np.ndarray]] = []
         n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            yield from by_bucket(columns, columns[0], buckets)
+
         with np.errstate(over="ignore"):
             for batch in batches:
-                for i, v, w, z, at in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                    data = np.frombuffer(unzip(z), np.uint8)
-                    a = np.unique(np.array(at, np.int64))
-                    begin = (a[:, None] - np.arange(length - BLOCK + 1)).ravel()
-                    begin = np.unique(begin[(begin >= 0) & (begin + length <= len(data))])
+                keys = [batch.column(k).to_pylist() for k in range(3)]
+                for i, v, w, z, at in zip(*keys, batch.column(3), lists(batch.column(4)), strict=True):
+                    data = np.frombuffer(unzip(z.as_py()), np.uint8)
+                    a = np.unique(at)
                     for lo in range(0, len(data), CHUNK):
-                        p = begin[(begin >= lo) & (begin < lo + CHUNK)]
+                        near = a[np.searchsorted(a, lo) : np.searchsorted(a, lo + CHUNK + length)]
+                        # Starts of the strings through these places, in this piece and inside the text.
+                        mark = np.zeros(min(CHUNK, len(data) - lo) + 1, np.int32)
+                        np.add.at(mark, np.clip(near - (length - BLOCK) - lo, 0, len(mark) - 1), 1)
+                        np.add.at(mark, np.clip(near + 1 - lo, 0, len(mark) - 1), -1)
+                        p = np.flatnonzero(np.cumsum(mark[:-1]) > 0) + lo
+                        p = p[p + length <= len(data)]
                         if not len(p):
                             continue
                         powers = Powers(data[lo : lo + CHUNK + length], BLOCK * 2)
@@ -250,13 +262,10 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
                         held.append([w1, w2.astype(np.uint32), *same, p.astype(np.uint32)])
                         n += len(p)
                         if n >= HELD:
-                            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                            yield from by_bucket(columns, columns[0])
-                            held.clear()
+                            yield from flush()
                             n = 0
             if held:
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                yield from by_bucket(columns, columns[0])
+                yield from flush()
 
     return docs.mapInArrow(work, "bucket int, data binary")
 
@@ -264,17 +273,15 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
 def compared(blobs: DataFrame) -> DataFrame:
     """Starts of strings that also start in a document with a smaller id."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w1, w2, ids, v, w, pos = unpack([x for b in batches for x in b.column(1).to_pylist()], STRING)
-        if not len(w1):
-            return
+    def work(bucket: pa.Table) -> pa.Table:
+        w1, w2, ids, v, w, pos = unpack(bucket.column("data").to_pylist(), STRING)
         order = np.lexsort((ids, w2, w1))
         w1, w2, ids, v, w, pos = (a[order] for a in (w1, w2, ids, v, w, pos))
         start = heads(w1, w2)
         later = ids != np.repeat(ids[start], np.diff(np.r_[start, len(w1)]))
-        yield from places(ids[later], v[later], w[later], pos[later], WINDOW)
+        return places(ids[later], v[later], w[later], pos[later], WINDOW)
 
-    return blobs.mapInArrow(work, PLACES)
+    return blobs.groupBy("bucket").applyInArrow(work, PLACES)
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -289,8 +296,11 @@ def zipped(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "_id long, _v long, _w long, z binary")
 
 
-def exchanged(blobs: DataFrame) -> DataFrame:
-    return blobs.repartition(int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+def lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of a column of numbers without Python objects; null is an empty list."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return iter(np.split(values, ends[:-1])) if len(ends) else iter(())
 
 
 def substring_dedup(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
@@ -311,11 +321,11 @@ def substring_dedup(docs: DataFrame, length: int = 50, with_text: bool = False)
     shared = (F.col("_id") == int(NO_ID)) | F.coalesce("several", F.lit(False))
     digests = [F.when(shared, h).otherwise(F.lit(0)).cast("long") for h in (F.xxhash64("_t"), F.xxhash64(F.lit(1), "_t"))]
     keyed = keyed.select("_id", digests[0].alias("_v"), digests[1].alias("_w"), "_t")
-    marks = stored(settle(exchanged(anchors(keyed, length))), "substring-places")
+    marks = stored(settle(anchors(keyed, length)), "substring-places")
     some = marks.where(f"kind = {OPEN}").groupBy(*TEXT).agg(F.collect_set("pos").alias("places"))
     texts = zipped(keyed)
     todo = texts.join(some, TEXT).select(*TEXT, "z", "places")
-    windows = stored(compared(exchanged(strings(todo, length))), "substring-windows")
+    windows = stored(compared(strings(todo, length)), "substring-windows")
     all_ = marks.where(f"kind = {COVERED}").union(windows).groupBy(*TEXT)
     covers = all_.agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("pos"))).alias(n) for n, k in (("c", COVERED), ("w", WINDOW))])
     joined = texts.join(covers, TEXT, "left").select("_id", "z", "c", "w")
@@ -324,10 +334,9 @@ def substring_dedup(docs: DataFrame, length: int = 50, with_text: bool = False)
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for i, z, c, w in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                data = unzip(z)
+            for i, z, c, w in zip(batch.column(0).to_pylist(), batch.column(1), lists(batch.column(2)), lists(batch.column(3)), strict=True):
+                data = unzip(z.as_py())
                 edge = np.zeros(len(data) + 1, np.int32)
-                c, w = np.array(c or [], np.int64), np.array(w or [], np.int64)
                 lo, hi = np.maximum(0, c - (length - BLOCK)), np.minimum(len(data), c + length)
                 lo, hi = lo[hi - lo >= length], hi[hi - lo >= length]
                 for x, d in ((np.r_[lo, w], 1), (np.r_[hi, w + length], -1)):
