@@ -158,6 +158,8 @@ CASE_RULES = [
     rule("p_name", "title_name", "case_trim", case="title"),
     rule("p_name", None, "case_trim"),
 ]
+# Ends of dates begin with a hyphen, which a spreadsheet reads as a formula.
+RAW_RULES = [rule("order_date", "tail", "substring", mode="range", start=4, length=0)]
 STATISTICS_RULES = [
     rule("status", "letter", "substring", count=1),
     rule("order_date", "year", "regex_extract", pattern=r"^(\d{4})-\d{2}-"),
@@ -166,15 +168,42 @@ STATISTICS_RULES = [
 ]
 
 
+def export_path(spark: SparkSession) -> str:
+    """A new place that all executors see; a local folder only where driver and executors are one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors see.")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/tablecensus-export-{uuid.uuid4().hex}"
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export the rows as CSV, read the files back, and count the patterns of what was read."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/tablecensus-export-{uuid.uuid4().hex}"
+    path = export_path(spark)
     tc.write_rows(orders(spark, sf_dir), path, one_document=False)
     source = tc.read_csv(spark, path, ORDERS_MARKERS)
     return tc.completeness_patterns(source, ["status", "priority", "order_date", "qty_text"])
 
 
+def csv_read_back(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Columns of the documents with their line breaks, written as raw cells and read back as text."""
+    path = export_path(spark)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    tc.write_rows(tc.table(documents), path, one_document=False, inert=False)
+    return tc.read_csv(spark, path).to_df()
+
+
+def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = csv_read_back(spark, sf_dir, ["doc_id", "text", "lang", "source", "n_chars"])
+    return cells.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("text_length"), "lang", "source", "n_chars")
+
+
+def csv_single_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = csv_read_back(spark, sf_dir, ["text"])
+    return cells.groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("input_rows"))
+
+
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = orders(spark, sf_dir)
     reduced = tc.table(whole.to_df(["o_custkey", "status", "qty_text", "code"]).where("o_custkey % 2 = 0"), {"status": ["n/a"]})
@@ -372,6 +401,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "page_id", text_functions.structural_format(F.col("url")).alias("format")
         ),
         "csv_roundtrip_orders": csv_roundtrip,
+        "csv_multiline_documents": csv_multiline,
+        "csv_single_column_documents": csv_single_column,
+        "transformed_export_lines_orders": lambda s, d: tc.csv_lines(
+            tc.transform(orders(s, d), RAW_RULES).to_df(["code", "status", "tail"]), inert=False
+        ),
         # profiles and comparisons
         "column_profile_orders": lambda s, d: tc.column_profile(orders(s, d)),
         "snapshot_diff_orders": snapshot_diff,
@@ -754,6 +788,10 @@ def oracle_sql() -> dict[str, str]:
         "structural_format_pages": f"select page_id, case when regexp_matches(url, '[0-9]') then {FORMAT.format('url')} end "
         "as format from pages",
         "csv_roundtrip_orders": patterns_sql("orders_dirty", four),
+        "csv_multiline_documents": "select cast(doc_id as varchar) as doc_id, md5(nullif(text, '')) as text_md5, "
+        "cast(length(nullif(text, '')) as int) as text_length, lang, source, cast(n_chars as varchar) as n_chars from documents",
+        "csv_single_column_documents": "select md5(nullif(text, '')) as text_md5, count(*) as input_rows from documents group by 1",
+        "transformed_export_lines_orders": "select concat_ws(',', code, coalesce(status, ''), coalesce(substr(order_date, 5), '')) as line from orders_dirty",
         "column_profile_orders": profile_sql("orders_dirty", ORDERS_MISSING),
         "snapshot_diff_orders": snapshot_sql(),
         "numeric_summary_orders": summary_sql(

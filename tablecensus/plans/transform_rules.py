@@ -37,27 +37,44 @@ def parse_rules(rules: Sequence[TransformRule | Mapping[str, object]]) -> list[T
     return [rule if isinstance(rule, TransformRule) else parse_rule(rule) for rule in rules]
 
 
+def _trimmed(value: object) -> str:
+    return str(value).strip()
+
+
+def _settings(value: object) -> Mapping[str, object]:
+    return value if isinstance(value, Mapping) else {}
+
+
+# Each field of a rule document: what counts where it is left out, and how a given value is read.
+FIELDS = {
+    "source_column": ("", _trimmed),
+    "transform_type": ("delimiter_split", lambda value: value),
+    "id": ("", _trimmed),
+    "target_mode": ("new_column", lambda value: value),
+    "target_column": ("", _trimmed),
+    "config": ({}, _settings),
+}
+# Fields that may stay empty in a document, and what stands for them, from the other fields.
+FALLBACKS = {
+    "id": "rule_{source_column}",
+    "target_column": "{source_column}_transformed",
+}
+
+
 def parse_rule(document: Mapping[str, object]) -> TransformRule:
-    def text(key: str) -> str:
-        return str(document.get(key, "")).strip()
-
-    source = text("source_column")
-    if not source:
-        raise TransformRuleError("A rule needs a source_column.")
-    mode = document.get("target_mode", "new_column")
-    if mode not in TARGET_MODES:
-        raise TransformRuleError(f"The target_mode {mode!r} is not known.")
-    target = source if mode == "overwrite" else text("target_column") or f"{source}_transformed"
-    kind = document.get("transform_type", "delimiter_split")
-    config = document.get("config", {})
-    return TransformRule(
-        source_column=source,
-        transform_type=kind,
-        id=text("id") or f"rule_{source}",
-        target_mode=mode,
-        target_column=target,
-        config=_complete_config(kind, config if isinstance(config, Mapping) else {}),
-    )
+    given = {name: read(document.get(name, default)) for name, (default, read) in FIELDS.items()}
+    faults = {
+        "A rule needs a source_column.": not given["source_column"],
+        f"The target_mode {given['target_mode']!r} is not known.": given["target_mode"] not in TARGET_MODES,
+    }
+    for message, found in faults.items():
+        if found:
+            raise TransformRuleError(message)
+    complete = {name: given[name] or text.format(**given) for name, text in FALLBACKS.items()}
+    if given["target_mode"] == "overwrite":
+        complete["target_column"] = given["source_column"]
+    complete["config"] = _complete_config(given["transform_type"], given["config"])
+    return TransformRule(**given | complete)
 
 
 def _complete_config(kind: object, given: Mapping[str, object]) -> dict[str, object]:

@@ -52,13 +52,13 @@ def _record(fields: list[Column]) -> Column:
     return F.concat_ws(",", *fields)
 
 
-def _cells(positional: DataFrame) -> list[Column]:
-    """The cells as written: inert text, and doubles at full precision."""
+def _cells(positional: DataFrame, inert: bool) -> list[Column]:
+    """The cells as written: inert text unless raw cells are asked for, and doubles at full precision."""
     cells = []
     for field in positional.schema.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, T.StringType):
-            cells.append(inert_text(column))
+            cells.append(inert_text(column) if inert else column)
         elif isinstance(field.dataType, T.DoubleType):
             cells.append(share_text(column))
         else:
@@ -66,15 +66,15 @@ def _cells(positional: DataFrame) -> list[Column]:
     return cells
 
 
-def csv_lines(df: DataFrame) -> DataFrame:
-    """One finished CSV ``line`` per row."""
+def csv_lines(df: DataFrame, inert: bool = True) -> DataFrame:
+    """One finished CSV ``line`` per row. ``inert=False`` leaves text that starts a formula as it is."""
     positional, _ = by_position(df)
-    return positional.select(_record([_field(cell) for cell in _cells(positional)]).alias("line"))
+    return positional.select(_record([_field(cell) for cell in _cells(positional, inert)]).alias("line"))
 
 
-def _header_line(names: Sequence[str], bom: bool) -> str:
+def _header_line(names: Sequence[str], bom: bool, inert: bool) -> str:
     def field(name: str) -> str:
-        text = inert_name(name)
+        text = inert_name(name) if inert else name
         return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\r\n') else text
 
     fields = [field(name) for name in names]
@@ -88,22 +88,26 @@ def write_csv(
     bom: bool = False,
     one_document: bool = True,
     mode: str = "errorifexists",
+    inert: bool = True,
 ) -> None:
     """Write a DataFrame in the order it has. Fails on an existing path unless ``mode`` says else.
 
+    ``inert=False`` writes raw cells, for programs that read the file back; a spreadsheet may execute
+    them.
+
     With ``one_document=False`` every file has its own header and no byte order mark, which suits
     readers that take the files apart.
     """
     if one_document:
-        header = F.lit(_header_line(df.columns, bom)).alias("line")
+        header = F.lit(_header_line(df.columns, bom, inert)).alias("line")
         first = df.sparkSession.range(1).select(header)
         # Union keeps the order of its sides, so the header gets the first file.
-        first.unionAll(csv_lines(df)).write.mode(mode).text(path, lineSep=LINE_END)
+        first.unionAll(csv_lines(df, inert)).write.mode(mode).text(path, lineSep=LINE_END)
         return
     # Spark would turn line breaks inside cells into the line end of the file, hence plain "\n".
     empty = "" if len(df.columns) > 1 else '""'
     positional, names = by_position(df)
-    named = positional.select(*_cells(positional)).toDF(*map(inert_name, names))
+    named = positional.select(*_cells(positional, inert)).toDF(*(map(inert_name, names) if inert else names))
     named.write.mode(mode).csv(
         path,
         header=True,
@@ -123,15 +127,16 @@ def write_rows(
     column_mode: str = "all",
     one_document: bool = True,
     mode: str = "errorifexists",
+    inert: bool = True,
 ) -> None:
-    """Write source rows in source order (or as they come, without one).
+    """Write source rows in source order (or as they come, without one); see ``write_csv`` for ``inert``.
 
     As one document they start with a byte order mark.
     """
     df = source.df.orderBy(*source.order_columns()) if source.order else source.df
     columns = project_columns(source.names, analysed, column_mode)
     texts = df.select(*[source.text(name) for name in columns]).toDF(*columns)
-    write_csv(texts, path, bom=True, one_document=one_document, mode=mode)
+    write_csv(texts, path, bom=True, one_document=one_document, mode=mode, inert=inert)
 
 
 def completeness_export(completeness: DataFrame) -> DataFrame:

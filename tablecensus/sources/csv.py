@@ -2,32 +2,22 @@
 
 A check over the raw lines decides how the files can be read. When every record sits on one line,
 files are split and parsed by Spark. Otherwise (line breaks inside quotes, or quoting that needs
-the strict rules) each file is parsed as a whole by Python's ``csv`` module, in parallel by file.
+the strict rules) records are regrouped from split files, see ``records.py``.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.selection import unique_names
 from ..table import ROW_ID, Table, physical, positional_table
+from .records import BOM, CsvFileError, first_record, read_records
 from .row_ids import file_line_id
 
-BOM = "\ufeff"
 QUOTED_FIELD = r'(?:\A\x{FEFF}?|(?<=,))"[^"]*+(?:""[^"]*+)*+"(?=,|\z)'
-WHOLE_FILE_LIMIT = 2**31 - 1
-BATCH_ROWS = 10_000
-LINE_ID_TYPE = "struct<file: string, block: bigint, line: bigint>"
-
-
-class CsvFileError(ValueError):
-    """The file is not a rectangular CSV table."""
 
 
 def read_csv(
@@ -39,28 +29,22 @@ def read_csv(
 ) -> Table:
     """Read CSV files with one common header. Empty cells are NULL, rows keep a ``_row_id``.
 
-    ``exact=None`` chooses the reader from the check described above. ``exact=True`` always parses
-    whole files strictly. ``exact=False`` never does: files with line breaks inside quotes are then
-    read by Spark's multi-line mode, which has no size limit per file but is lenient about text
-    after a closing quote. ``validate=False`` skips the check and needs ``exact`` to be set.
+    ``exact=None`` chooses the reader from the check described above. ``exact=True`` always regroups
+    records strictly. ``exact=False`` never does: files with line breaks inside quotes are then read
+    by Spark's multi-line mode, one task per file, which is lenient about text after a closing
+    quote. ``validate=False`` skips the check and needs ``exact`` to be set.
     """
     if not validate and exact is None:
         raise ValueError("Without the check the reader has to be chosen with exact=True or False.")
     files = _list_files(spark, path)
-    names = unique_names(_read_header(spark, files["first"]))
+    names = unique_names(first_record(spark, files["first"]))
     facts = _check_lines(spark, path, len(names)) if validate else None
     one_line_records = facts is not None and facts["odd_lines"] == 0
-    if files["files"] > 1 and validate and one_line_records:
+    if files["files"] > 1 and one_line_records:
         _check_headers(spark, path)
-    if exact or (exact is None and not one_line_records):
-        if files["largest"] > WHOLE_FILE_LIMIT:
-            raise CsvFileError(
-                "A file over 2 GiB has records over several lines or irregular quotes; split the "
-                "file or read it with exact=False."
-            )
-        rows = _read_whole_files(spark, path, names)
-    elif len(names) == 1 and one_line_records:
-        rows = _read_single_column(spark, path)
+    if exact or (exact is None and not one_line_records) or (len(names) == 1 and one_line_records):
+        # Spark's reader drops empty lines, which are rows with a missing value in a single column.
+        rows = read_records(spark, path, names)
     else:
         rows = _read_with_spark(spark, path, len(names), checked=one_line_records)
     columns = [physical(i) for i in range(len(names))]
@@ -72,7 +56,6 @@ def _list_files(spark: SparkSession, path: str | list[str]) -> Row:
     # Without the content column no file is opened.
     listed = spark.read.format("binaryFile").load(path).agg(
         F.min("path").alias("first"),
-        F.max("length").alias("largest"),
         F.count(F.lit(1)).alias("files"),
     )
     files = listed.head()
@@ -81,23 +64,6 @@ def _list_files(spark: SparkSession, path: str | list[str]) -> Row:
     return files
 
 
-def _read_header(spark: SparkSession, file: str) -> list[str]:
-    lines, wanted = [], 1
-    while True:
-        # Only a header with line breaks inside quotes needs more than its first line.
-        lines = [row["value"] for row in spark.read.text(file).limit(wanted).collect()]
-        try:
-            header = next(csv.reader(io.StringIO("\n".join(lines).removeprefix(BOM)), strict=True), [])
-        except csv.Error as error:
-            if len(lines) < wanted:
-                raise CsvFileError("The header cannot be read.") from error
-            wanted *= 2
-            continue
-        if not header:
-            raise CsvFileError("The file has no header.")
-        return header
-
-
 def _check_lines(spark: SparkSession, path: str | list[str], width: int) -> Row:
     """One pass over the raw lines: encoding, quoting, and the number of cells.
 
@@ -123,28 +89,11 @@ def _check_lines(spark: SparkSession, path: str | list[str], width: int) -> Row:
     return facts
 
 
-def _text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path).select(file_line_id().alias(ROW_ID), "value")
-
-
-def _header_ids(lines: DataFrame) -> DataFrame:
-    return (
-        lines.where(F.col(f"{ROW_ID}.block") == 0)
-        .groupBy(F.col(f"{ROW_ID}.file").alias("header_file"))
-        .agg(F.min(f"{ROW_ID}.line").alias("header_line"))
-    )
-
-
-def _is_header() -> Column:
-    return (F.col(f"{ROW_ID}.file") == F.col("header_file")) & (
-        F.col(f"{ROW_ID}.line") == F.col("header_line")
-    )
-
-
 def _check_headers(spark: SparkSession, path: str | list[str]) -> None:
-    lines = _text_lines(spark, path)
-    headers = lines.join(_header_ids(lines), _is_header()).select(F.ltrim("value", F.lit(BOM)))
-    if headers.distinct().limit(2).count() > 1:
+    """The first line of every file, found in one scan that keeps one line per file and task."""
+    lines = spark.read.text(path).select(file_line_id().alias(ROW_ID), "value").where(f"{ROW_ID}.block = 0")
+    first = lines.groupBy(f"{ROW_ID}.file").agg(F.min_by("value", F.col(f"{ROW_ID}.line")).alias("header"))
+    if first.select(F.ltrim("header", F.lit(BOM))).distinct().limit(2).count() > 1:
         raise CsvFileError("The files do not share one header.")
 
 
@@ -163,59 +112,3 @@ def _read_with_spark(
         mode="FAILFAST",
         maxColumns=max(20_480, width + 1),
     ).select(file_line_id().alias(ROW_ID), "*")
-
-
-def _read_single_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One column: an empty line is a row with a missing value, which Spark's reader drops."""
-    lines = _text_lines(spark, path)
-    value = F.col("value")
-    inner = F.substring(value, F.lit(2), F.length(value) - F.lit(2))
-    cell = F.when(value.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(value)
-    # One header per file.
-    rows = lines.join(_header_ids(lines), _is_header(), "left_anti")
-    return rows.select(ROW_ID, cell.alias(physical(0)))
-
-
-def _read_whole_files(spark: SparkSession, path: str | list[str], names: tuple[str, ...]) -> DataFrame:
-    width = len(names)
-    columns = [physical(i) for i in range(width)]
-    schema = f"file string, line bigint, {', '.join(f'{name} string' for name in columns)}"
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(2**31 - 1)
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                yield from parse_file(file, content)
-
-    def parse_file(file: str, content: bytes) -> Iterator[pd.DataFrame]:
-        text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", newline="")
-        reader = csv.reader(text, strict=True)
-        try:
-            if unique_names(next(reader, [])) != names:
-                raise CsvFileError(f"{file}: the header differs from the first file.")
-            rows, start = [], 0
-            for record in reader:
-                if not record and width > 1:
-                    continue
-                record = record or [""]
-                if len(record) != width:
-                    raise CsvFileError(f"{file}: a row does not have {width} cells.")
-                rows.append(record)
-                if len(rows) == BATCH_ROWS:
-                    yield frame(file, start, rows)
-                    start, rows = start + len(rows), []
-            yield frame(file, start, rows)
-        except (csv.Error, UnicodeDecodeError) as error:
-            raise CsvFileError(f"{file}: {error}") from error
-
-    def frame(file: str, start: int, rows: list[list[str]]) -> pd.DataFrame:
-        result = pd.DataFrame(rows, columns=columns, dtype=object)
-        result.insert(0, "file", file)
-        result.insert(1, "line", range(start, start + len(rows)))
-        return result
-
-    # One file per task and batch, so that a worker holds one file at a time.
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    parsed = files.mapInPandas(parse, schema)
-    row_id = F.struct("file", F.lit(0).cast("long").alias("block"), "line").cast(LINE_ID_TYPE)
-    return parsed.select(row_id.alias(ROW_ID), *columns)

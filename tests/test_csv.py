@@ -3,6 +3,7 @@
 import csv
 import glob
 import io
+import random
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -203,3 +204,64 @@ def test_share_text_is_the_shortest_exact_form(spark):
     shares = [1 / 3, 1e-5, 0.0002, 1.0, 0.0, 5e-324, 0.1 + 0.2]
     df = spark.createDataFrame([(share,) for share in shares], "s double")
     assert [row[0] for row in df.select(tc.sinks.csv.share_text(F.col("s"))).collect()] == [repr(s) for s in shares]
+
+
+def python_rows(content):
+    """What the csv module reads, with empty cells as None and empty lines of wide tables left out."""
+    rows = list(csv.reader(io.StringIO(content.removeprefix("\ufeff"), newline=""), strict=True))
+    width = len(rows[0])
+    return [tuple(cell or None for cell in (row or [""])) for row in rows[1:] if row or width == 1]
+
+
+@pytest.fixture
+def small_splits(spark):
+    # Floor of the split size: one open cost.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+PARTS = ["x", "é", ",", '""', "\n", "\r\n", "\r", '"",""', "long cell " * 30, "\n\n\n", "=", '""\n""']
+
+
+@pytest.mark.parametrize("width", [1, 3])
+@pytest.mark.parametrize("seed", range(2))
+def test_records_over_many_splits_equal_the_csv_module(spark, tmp_path, small_splits, width, seed):
+    r, files = random.Random(seed), []
+    for k in range(2):
+        lines = [",".join(["\"a\r\nb\"", "plain", "x\"y"][:width])]
+        for _ in range(90):
+            quoted = ['"' + "".join(r.choice(PARTS) for _ in range(r.randint(0, 6))) + '"' for _ in range(width)]
+            cells = [q if r.random() < 0.5 else r.choice(["", "plain", 'mid"quote', "ü" * 20]) for q in quoted]
+            lines.append(",".join(cells))
+            if r.random() < 0.1:
+                lines.append("")
+        content = r.choice(["", "\ufeff"]) + r.choice(["\n", "\r\n"]).join(lines)
+        files.append(content)
+        write(tmp_path / f"f{k}.csv", content)
+    source = tc.read_csv(spark, str(tmp_path))
+    assert source.df.rdd.getNumPartitions() > 12
+    assert source.names[0] == "a\r\nb"
+    assert rows_of(source) == python_rows(files[0]) + python_rows(files[1])
+
+
+def test_a_record_through_several_splits_and_one_that_never_ends(spark, tmp_path, small_splits):
+    text = "line\n" * 200
+    path = write(tmp_path / "a.csv", f'a,b\n1,"{text}"\n2,"{text}",\n')
+    with pytest.raises(FAILURES):
+        rows_of(tc.read_csv(spark, path))
+    path = write(tmp_path / "b.csv", f'a,b\n1,"{text}"\n2,z\n3,"{text}"')
+    assert rows_of(tc.read_csv(spark, path)) == [("1", text), ("2", "z"), ("3", text)]
+    path = write(tmp_path / "c.csv", f'a,b\n1,2\n3,"{text}')
+    with pytest.raises(FAILURES):
+        rows_of(tc.read_csv(spark, path))
+
+
+def test_raw_cells_are_written_and_read_back(text_table, spark, tmp_path):
+    cells = [c for c in HOSTILE if c]
+    tc.write_rows(text_table(["=n", "t"], [[str(i), c] for i, c in enumerate(cells)]), str(tmp_path / "raw"), one_document=False, inert=False)
+    source = tc.read_csv(spark, str(tmp_path / "raw"))
+    assert source.names == ("=n", "t")
+    assert sorted(rows_of(source)) == sorted((str(i), c) for i, c in enumerate(cells))
