@@ -204,9 +204,15 @@ def csv_single_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("input_rows"))
 
 
+LARGE_INTEGER = "case when o_orderkey % 10 = 0 then '' else concat('3689348814741', lpad(cast(o_orderkey as string), 12, '0')) end"
+# The later table: other columns, another order, and other missing cells over the same rows.
+LATER_STATUS = "case when o_custkey % 2 = 0 then '' else status end"
+
+
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = orders(spark, sf_dir)
-    reduced = tc.table(whole.to_df(["o_custkey", "status", "qty_text", "code"]).where("o_custkey % 2 = 0"), {"status": ["n/a"]})
+    later = whole.to_df(["o_custkey", "status", "qty_text", "code"]).selectExpr("o_custkey", f"{LATER_STATUS} as status", "qty_text", "code")
+    reduced = tc.table(later, {"status": ["n/a"]})
     before_settings = tc.snapshot_settings(tc.table(whole.to_df(), {"status": ["n/a"]}))
     compared = tc.compare_snapshots(
         tc.snapshot_of(tc.column_profile(tc.table(whole.to_df(), {"status": ["n/a"]}))),
@@ -228,6 +234,22 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def integer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers beyond 64 bits: no figure passes through a double."""
+    source = tc.table(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"{LARGE_INTEGER} as big"))
+    summary = tc.value_summary(source, "big", "integer")
+    texts = {"min_value": "min_value", "max_value": "max_value", "q0.25": "q1", "q0.5": "q2", "q0.75": "q3"}
+    counts = ["input_rows", "missing_count", "parseable_count", "unparseable_count"]
+    return summary.select(*counts, *[F.col(f"`{name}`").cast("string").alias(out) for name, out in texts.items()])
+
+
+def normalized_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suggestions accepted, each listed twice; every row stays."""
+    source = part(spark, sf_dir)
+    suggested = tc.normalization_suggestions(source, ["p_name"])
+    return tc.apply_suggestions(source, suggested.unionAll(suggested), ["p_name"]).to_df(["p_partkey", "p_name"])
+
+
 def columns_by_missing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One row per column, so the positions can be numbered in place.
     completeness = tc.column_completeness(orders(spark, sf_dir))
@@ -410,6 +432,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "column_profile_orders": lambda s, d: tc.column_profile(orders(s, d)),
         "snapshot_diff_orders": snapshot_diff,
         "numeric_summary_orders": lambda s, d: tc.value_summary(orders(s, d), "qty_text", "number"),
+        "integer_summary_orders": integer_summary,
         "date_summary_orders": lambda s, d: tc.value_summary(orders(s, d), "order_date", "YYYY-MM-DD"),
         "histogram_orders": lambda s, d: tc.histogram(orders(s, d), "qty_text", "integer", 8),
         "date_counts_orders": lambda s, d: tc.date_counts(orders(s, d), "order_date", interval="month"),
@@ -417,6 +440,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             events(s, d), "ts_text", "YYYY-MM-DD HH:MM:SS", "week"
         ),
         "normalization_suggestions_part": lambda s, d: tc.normalization_suggestions(part(s, d), ["p_name"]),
+        "normalized_part": normalized_part,
         "key_reference_orders_customer": lambda s, d: tc.key_reference_check(
             orders(s, d), ["o_custkey"], plain(s, d, "customer"), ["c_custkey"]
         ),
@@ -569,6 +593,22 @@ def summary_sql(parsed: str, gone: str, quantiles: str) -> str:
     )
 
 
+def integer_summary_sql() -> str:
+    def quantile(q: float) -> str:
+        low, high = f"(select v from r where k = floor({q} * (n - 1)) + 1)", f"(select v from r where k = ceil({q} * (n - 1)) + 1)"
+        part = f"(select {q} * (n - 1) - floor({q} * (n - 1)) from r limit 1)"
+        return f"cast(cast({low} as decimal(38, 6)) + cast(cast({high} - {low} as double) * {part} as decimal(38, 6)) as varchar)"
+
+    return (
+        f"with s as (select nullif({LARGE_INTEGER}, '') as t from orders), "
+        "r as (select cast(t as hugeint) as v, row_number() over (order by cast(t as hugeint)) as k, count(*) over () as n from s where t is not null) "
+        "select (select count(*) from s) as input_rows, (select count(*) from s where t is null) as missing_count, "
+        "(select count(*) from r) as parseable_count, cast(0 as bigint) as unparseable_count, "
+        "cast((select min(v) from r) as varchar) as min_value, cast((select max(v) from r) as varchar) as max_value, "
+        f"{quantile(0.25)} as q1, {quantile(0.5)} as q2, {quantile(0.75)} as q3"
+    )
+
+
 def profile_sql(source: str, columns: dict[str, str]) -> str:
     indexed = {name: (i, gone) for i, (name, gone) in enumerate(columns.items())}
     terms = terms_sql(source, indexed)
@@ -592,7 +632,7 @@ def snapshot_sql() -> str:
     before = {**ORDERS_MISSING, "priority": missing("priority")}
     after = {name: before[name] for name in ("o_custkey", "status", "qty_text", "code")}
     return (
-        "with reduced as (select o_custkey, status, qty_text, code from orders_dirty where o_custkey % 2 = 0), "
+        f"with reduced as (select o_custkey, {LATER_STATUS} as status, qty_text, code from orders_dirty), "
         f"b as ({profile_sql('orders_dirty', before)}), a as ({profile_sql('reduced', after)}) "
         "select coalesce(b.column_name, a.column_name) as column_name, "
         "case when b.column_name is null then 'added' when a.column_name is null then 'removed' "
@@ -816,6 +856,11 @@ def oracle_sql() -> dict[str, str]:
         "week_counts_events": "with v as (select cast(ts_text as timestamp) as v from events_text) "
         "select cast(date_trunc('week', v) as date) as period, count(*) as \"count\", "
         "count(*) / (select count(*) from v) as share from v group by 1",
+        "integer_summary_orders": integer_summary_sql(),
+        "normalized_part": "with t as (select p_name as v, count(*) as n, lower(trim(p_name)) as k from part_text group by 1), "
+        "l as (select k, trim(v) as proposed from (select *, row_number() over (partition by k order by n desc, v) as rn, "
+        "count(*) over (partition by k) as terms from t) where rn = 1 and terms > 1) "
+        "select p_partkey, coalesce(proposed, p_name) as p_name from part_text left join l on l.k = lower(trim(p_name))",
         "normalization_suggestions_part": "with t as (select p_name as original_term, count(*) as \"count\", "
         "lower(trim(p_name)) as k from part_text group by 1), g as (select k, count(*) as term_count, "
         "cast(sum(\"count\") as bigint) as group_rows from t group by 1 having count(*) > 1), "

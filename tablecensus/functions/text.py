@@ -136,3 +136,59 @@ def slice_text(text: Column, start: int | None, stop: int | None) -> Column:
     first = bound(start) if start else F.lit(0)
     last = size if stop is None else bound(stop)
     return F.substring(text, first + F.lit(1), F.greatest(last - first, F.lit(0)))
+
+
+def double_text(number: Column) -> Column:
+    """The shortest text that reads back as the same double, as Python writes it; NULL for NaN.
+
+    Any decimal of up to 15 digits survives a double, so the first of 15, 16 and 17 digits that reads
+    back is the shortest once its zeros are cut. Only doubles below the normal range need all lengths.
+    Above a power of two doubles lie wider apart than below it, so there the next 16 digits upwards
+    may read back where the nearest ones do not.
+    """
+
+    def upwards() -> Column:
+        text = F.format_string("%.16e", F.abs(number))
+        digits = (F.substring(F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit("")), 1, 16).try_cast("long") + 1).cast("string")
+        sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+        moved = F.concat(sign, F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 15), F.lit("e"), F.substring_index(text, "e", -1))
+        return F.when(F.length(digits) == 16, moved)
+
+    def shortest(lengths: range) -> Column:
+        texts = [F.format_string(f"%.{n - 1}e", number) for n in lengths]
+        texts.insert(-1, upwards())
+        return F.coalesce(*[F.when(text.try_cast("double") == number, text) for text in texts])
+
+    def written(text: Column) -> Column:
+        sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        digits = F.rtrim(F.replace(F.ltrim(F.substring_index(text, "e", 1), F.lit("-")), F.lit("."), F.lit("")), F.lit("0"))
+        exponent = F.substring_index(text, "e", -1).try_cast("int")
+        return F.transform(F.array(F.struct(sign.alias("sign"), digits.alias("digits"), exponent.alias("exponent"))), layout)[0]
+
+    def layout(parts: Column) -> Column:
+        digits, exponent = parts["digits"], parts["exponent"]
+        size = F.length(digits)
+        rest = F.substring(digits, F.lit(2), size)
+        whole = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, size))
+        scientific = F.concat(
+            F.substring(digits, F.lit(1), F.lit(1)),
+            F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+            F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+            F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
+        )
+        plain = (
+            F.when(size == 0, F.lit("0.0"))
+            .when(~exponent.between(-4, 15), scientific)
+            .when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
+            .when(size <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0")))
+            .otherwise(whole)
+        )
+        return F.concat(parts["sign"], plain)
+
+    smallest_normal = 2.0**-1022
+    text = F.when((F.abs(number) < smallest_normal) & (number != 0), shortest(range(1, 18))).otherwise(shortest(range(15, 18)))
+    return (
+        F.when(number.isNull() | F.isnan(number), F.lit(None).cast("string"))
+        .when(F.abs(number) == float("inf"), F.when(number > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .otherwise(written(text))
+    )

@@ -138,7 +138,9 @@ def page(source: Table, number: int, page_rows: int = PAGE_ROWS, columns: Sequen
 
 def with_tie(source: Table) -> DataFrame:
     """The rows with ``_tie``, a hash of all columns that tells rows of equal order apart."""
-    return source.df.select("*", F.xxhash64(F.struct("*")).alias("_tie"))
+    # Maps have no hash, their text form has.
+    whole = F.struct(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in source.df.schema.fields])
+    return source.df.select("*", F.xxhash64(whole).alias("_tie"))
 
 
 def number_rows(source: Table) -> DataFrame:

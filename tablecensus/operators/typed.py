@@ -1,6 +1,6 @@
 """Figures and distributions of columns that the caller declares to hold numbers or dates.
 
-Numbers are compared as doubles. Dates have no time zone. Quantiles are exact: equal values are
+Numbers are compared as doubles, integers as decimals of 38 digits. Dates have no time zone. Quantiles are exact: equal values are
 counted first, and the counted values are range-partitioned to find the wanted ranks.
 """
 
@@ -19,7 +19,7 @@ from .shares import share_of, total_of
 
 # Declared type -> (check, Spark type of the parsed value)
 PARSERS = {
-    "integer": (is_integer, "double"),
+    "integer": (is_integer, "decimal(38,0)"),
     "number": (is_number, "double"),
     "YYYY-MM-DD": (is_date, "date"),
     "YYYY-MM-DD HH:MM:SS": (is_datetime, "timestamp_ntz"),
@@ -29,7 +29,10 @@ INTERVALS = ("day", "week", "month")
 
 
 def parsed(source: Table, name: str, value_type: str) -> Column:
-    """The value as number or date; NULL when it is missing or does not fit."""
+    """The value as number or date; NULL when it is missing or does not fit.
+
+    An integer of more than 38 digits does not fit.
+    """
     check, spark_type = PARSERS[value_type]
     text = source.text(name)
     fits = source.present(name) & check(text)
@@ -56,8 +59,9 @@ def value_summary(
 ) -> DataFrame:
     """Counts, minimum, maximum and exact quantiles as one row.
 
-    Number quantiles interpolate between neighbours; date quantiles are observed dates, the
-    first whose share of the values reaches the quantile. Runs the job that ranks the values.
+    Number quantiles interpolate between neighbours, those of integers to six decimals (NULL beyond
+    32 digits); date quantiles are observed dates, the first whose share of the values reaches the
+    quantile. Runs the job that ranks the values.
     """
     rows = source.df.select(
         parsed(source, name, value_type).alias("value"), source.missing(name).alias("missing")
@@ -70,7 +74,7 @@ def value_summary(
     )
     ranked = with_running_total(counted, [F.col("value")], "ranks", "last")
     ranked = ranked.withColumn("first", F.col("last") - F.col("ranks") + 1)
-    interpolate = PARSERS[value_type][1] == "double"
+    spark_type = PARSERS[value_type][1]
     input_rows, missing, parseable = (
         F.coalesce(F.sum(column), F.lit(0)) for column in ("count", "missing", "ranks")
     )
@@ -81,23 +85,27 @@ def value_summary(
         (input_rows - missing - parseable).alias("unparseable_count"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
-        *[_quantile(quantile, interpolate).alias(f"q{quantile:g}") for quantile in quantiles],
+        *[_quantile(quantile, spark_type).alias(f"q{quantile:g}") for quantile in quantiles],
     )
 
 
-def _quantile(quantile: float, interpolate: bool) -> Column:
+def _quantile(quantile: float, spark_type: str) -> Column:
     total = F.col("grand_total")
 
     def at(rank: Column) -> Column:
         return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("value")))
 
-    if not interpolate:
+    if spark_type in ("date", "timestamp_ntz"):
         return at(F.greatest(F.ceil(total * F.lit(quantile)), F.lit(1)))
     place = (total - 1) * F.lit(quantile)
     low, high = F.floor(place), F.ceil(place)
     below, above = at(low + 1), at(high + 1)
     part = F.max(place - low)
-    return below + (above - below) * part
+    if spark_type == "double":
+        return below + (above - below) * part
+    # Neighbours of 32 digits leave six for the decimals; what is wider has no quantile.
+    start, gap = below.try_cast("decimal(38,6)"), (above - below).try_cast("decimal(31,0)")
+    return (start + gap * part.cast("decimal(7,6)")).try_cast("decimal(38,6)")
 
 
 def histogram(source: Table, name: str, value_type: str = "number", bins: int = 10) -> DataFrame:
@@ -105,7 +113,7 @@ def histogram(source: Table, name: str, value_type: str = "number", bins: int =
 
     Shares are over the values that fit the type. Only finite values can be put in a bin.
     """
-    values = source.df.select(parsed(source, name, value_type).alias("value"))
+    values = source.df.select(parsed(source, name, value_type).cast("double").alias("value"))
     finite = values.where(F.col("value").isNotNull() & (F.abs("value") < F.lit(float("inf"))))
     bounds = finite.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")))
     bounds = bounds.scalar()

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import whitespace
+from ..functions.text import double_text, whitespace
 from ..plans.selection import project_columns
 from ..table import Table, by_position
 
@@ -34,12 +33,6 @@ def inert_name(name: str) -> str:
     return f"'{name}" if name.startswith(FORMULA_STARTS) or name.lstrip().startswith(FORMULA_STARTS) else name
 
 
-@F.pandas_udf(T.StringType())
-def share_text(shares: pd.Series) -> pd.Series:
-    """The shortest text that reads back as the same double. For summary results."""
-    return shares.map(lambda share: None if pd.isna(share) else repr(float(share)))
-
-
 def _field(text: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.coalesce(F.when(text.rlike('[,"\\r\\n]'), quoted).otherwise(text), F.lit(""))
@@ -60,7 +53,7 @@ def _cells(positional: DataFrame, inert: bool) -> list[Column]:
         if isinstance(field.dataType, T.StringType):
             cells.append(inert_text(column) if inert else column)
         elif isinstance(field.dataType, T.DoubleType):
-            cells.append(share_text(column))
+            cells.append(double_text(column))
         else:
             cells.append(column.cast("string"))
     return cells

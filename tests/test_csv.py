@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import tablecensus as tc
+from tablecensus.functions.text import double_text
 from tablecensus.sources.csv import CsvFileError
 from tablecensus.table import ROW_ID, NoInputRowsError
 
@@ -203,7 +204,7 @@ def test_summary_exports(text_table, tmp_path):
 def test_share_text_is_the_shortest_exact_form(spark):
     shares = [1 / 3, 1e-5, 0.0002, 1.0, 0.0, 5e-324, 0.1 + 0.2]
     df = spark.createDataFrame([(share,) for share in shares], "s double")
-    assert [row[0] for row in df.select(tc.sinks.csv.share_text(F.col("s"))).collect()] == [repr(s) for s in shares]
+    assert [row[0] for row in df.select(double_text(F.col("s"))).collect()] == [repr(s) for s in shares]
 
 
 def python_rows(content):

@@ -9,6 +9,9 @@ import numpy as np
 import pytest
 
 import tablecensus as tc
+from pyspark.sql import functions as F
+
+from tablecensus.operators import suggestions
 from tablecensus.operators.profile import SnapshotError
 from tablecensus.operators.ranking import ensure_checkpoint_dir, with_running_total
 
@@ -152,3 +155,35 @@ def test_the_configured_checkpoint_folder_is_used(spark):
     assert folder == spark.sparkContext.getCheckpointDir()
     if configured:
         assert configured.rstrip("/") in folder
+
+
+def test_integer_summary_beyond_doubles(text_table):
+    values = ["9007199254740993", "9007199254740992", "-99999999999999999999999999999999999999", "9" * 39, "x", ""]
+    row = tc.value_summary(text_table(["v"], [[v] for v in values]), "v", "integer", [0.5, 1.0]).head()
+    assert tuple(row)[:4] == (6, 1, 3, 2)
+    assert (int(row.min_value), int(row.max_value)) == (-(10**38 - 1), 9007199254740993)
+    assert (int(row["q0.5"]), int(row.q1)) == (9007199254740992, 9007199254740993)
+    near = tc.value_summary(text_table(["v"], [[v] for v in values[:2]]), "v", "integer", [0.25]).head()
+    assert str(near["q0.25"]) == "9007199254740992.250000"
+
+
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_TERMS": 1, "FREQUENT_TERMS": 1}])
+def test_accepted_suggestions_keep_the_rows(text_table, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(suggestions, name, value)
+    source = text_table(["a", "b"], [["x", "q"], ["X", "Q"], ["x", "q"], [" x", ""], ["z", "q "]])
+    accepted = tc.normalization_suggestions(source)
+    cleaned = tc.apply_suggestions(source, accepted.unionAll(accepted), ["a", "b"])
+    assert tuples(tc.in_source_order(cleaned)) == [("x", "q"), ("x", "q"), ("x", "q"), ("x", None), ("z", "q")]
+    other = accepted.withColumn("proposed_text", F.lit("other"))
+    with pytest.raises(ValueError):
+        tc.apply_suggestions(source, accepted.unionAll(other), ["a"])
+
+
+@pytest.mark.parametrize("number", [1, 500])
+def test_pages_of_a_table_with_maps(spark, number):
+    df = spark.range(20).select("id", F.create_map(F.lit("k"), F.col("id")).alias("m"))
+    rows = tc.page(tc.table(df, order_by=["id"]), number, 5 if number == 1 else 1).collect()
+    assert [row.m for row in rows] == ([{"k": i} for i in range(5)] if number == 1 else [])
+    deep = tc.page_of_numbered(tc.table(df, order_by=["id"]), tc.number_rows(tc.table(df, order_by=["id"])), 2, 5).collect()
+    assert [row.m for row in deep] == [{"k": i} for i in range(5, 10)]

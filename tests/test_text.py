@@ -1,6 +1,8 @@
 """Native text functions against Python's own string methods."""
 
+import math
 import random
+import struct
 import sys
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablecensus.functions.missing import is_missing, is_missing_text, normalize_markers
 from tablecensus.functions.text import (
+    double_text,
     casefold,
     fold_towards,
     contains_casefolded,
@@ -123,3 +126,16 @@ def test_inert_text(spark):
 
     assert evaluate(spark, texts, inert_text) == [expected(t) for t in texts]
     assert [inert_name(t) for t in texts if t] == [expected(t) for t in texts if t]
+
+
+def test_doubles_are_written_like_python_writes_them(spark):
+    r = random.Random(1)
+    values = [0.0, -0.0, 1.0, 0.1, 1 / 3, 100.0, 1e15, 1e16, 123456789012345680.0, 1e22, 2e23, 1e-4, 1e-5, -2.5e-7, 5e-324, 2.2250738585072014e-308]
+    values += [float("inf"), float("-inf"), 1.7976931348623157e308, *(2.0**k for k in range(-1074, 1024)), *(k * 5e-324 for k in range(1, 200))]
+    values += [r.randrange(1, 10**6) / r.randrange(1, 10**6) for _ in range(20_000)]
+    values += [x for x in struct.unpack("20000d", r.randbytes(160_000)) if math.isfinite(x)]
+    rows = spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "x double").select("x", double_text(F.col("x")).alias("t"))
+    wrong = [(repr(row.x), row.t) for row in rows.collect() if row.t != (None if row.x is None or math.isnan(row.x) else repr(row.x))]
+    assert wrong == []
+    plan = rows._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
