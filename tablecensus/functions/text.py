@@ -139,12 +139,13 @@ def slice_text(text: Column, start: int | None, stop: int | None) -> Column:
 
 
 def double_text(number: Column) -> Column:
-    """The shortest text that reads back as the same double, as Python writes it; NULL for NaN.
+    """The shortest text that reads back as the same double, in Python's notation; NULL for NaN.
 
     Any decimal of up to 15 digits survives a double, so the first of 15, 16 and 17 digits that reads
     back is the shortest once its zeros are cut. Only doubles below the normal range need all lengths.
     Above a power of two doubles lie wider apart than below it, so there the next 16 digits upwards
-    may read back where the nearest ones do not.
+    may read back where the nearest ones do not. Where several texts of the shortest length read back,
+    the last digit can differ from Python's (some ten in a million), as the JVM rounds a rounded text.
     """
 
     def upwards() -> Column:
