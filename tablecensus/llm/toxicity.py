@@ -116,7 +116,7 @@ class BlockMaxIndex:
             # The sums lie side by side for the live blocks only.
             slot = np.repeat((np.cumsum(live.ravel()) - 1)[block[read]], size)
             s = np.bincount(slot * BLOCK + self.places[posting] % BLOCK, np.repeat(w[read], size) * self.weights[posting], live.sum() * BLOCK)
-            s += frequent[live].ravel()
+            s = s + frequent[live].ravel()
             hit = np.flatnonzero(s > 0)
             number = np.flatnonzero(live)[hit // BLOCK]
             # Equal vectors differ by rounding only: compare what is left after that.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablecensus.llm import hard_negatives, personal_data, whitening
+from tablecensus.llm import hard_negatives, personal_data, toxicity, whitening
 
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 
@@ -163,3 +163,27 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, strip):
     assert sorted((tuple(x) for x in got), key=repr) == brute_negatives(rows)
     for none in (df.limit(0), df.where("vec_id % 100 <> 0"), df.where("vec_id = 100")):
         assert hard_negatives.hard_negatives(none).count() == 0
+
+
+@pytest.mark.parametrize("words", [2, 12, 300])
+def test_nearest_examples_equal_brute_force(words):
+    r = np.random.default_rng(words)
+
+    def unit(n):
+        v = {int(t): float(w) for t, w in zip(r.choice(words, min(n, words), replace=False), r.random(n) + 0.1, strict=False)}
+        size = sum(w * w for w in v.values()) ** 0.5
+        return {t: w / size for t, w in v.items()}
+
+    vectors = [unit(int(n)) for n in r.integers(1, 6, 900)]
+    vectors += [vectors[i] for i in r.integers(0, 900, 300)]
+    ids = [int(i) for i in r.permutation(5000)[: len(vectors)]]
+    index = toxicity.BlockMaxIndex(vectors, [i % 2 for i in ids], ids)
+    by_id = dict(zip(ids, vectors, strict=True))
+    queries = [*(unit(4) for _ in range(40)), {}, {words + 5: 1.0}, *vectors[:40]]
+    skip = [None] * 42 + ids[:40]
+    for query, own, (s, at) in zip(queries, skip, index.nearest(queries, 25, skip), strict=True):
+        cosine = [round(sum(w * by_id[i].get(t, 0.0) for t, w in query.items()), 9) for i in index.ids.tolist()]
+        want = sorted((-c, place) for place, c in enumerate(cosine) if c > 0 and index.ids[place] != own)[:25]
+        assert s.tolist() == pytest.approx([-c for c, _ in want], abs=2e-9)
+        assert at.tolist() == [b for _, b in want]
+    assert len(toxicity.BlockMaxIndex([], [], []).nearest([{0: 1.0}], 3, [None])[0][0]) == 0
