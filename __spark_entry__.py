@@ -13,13 +13,14 @@ import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import tablecensus as tc  # noqa: E402
 from tablecensus.functions import text as text_functions  # noqa: E402
+from tablecensus.sources.row_ids import with_row_position  # noqa: E402
 
 try:  # the pipeline operators are an optional part
     import corpus_pipeline
@@ -250,13 +251,15 @@ def normalized_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.apply_suggestions(source, suggested.unionAll(suggested), ["p_name"]).to_df(["p_partkey", "p_name"])
 
 
-def columns_by_missing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One row per column, so the positions can be numbered in place.
-    completeness = tc.column_completeness(orders(spark, sf_dir))
-    ordered = tc.order_columns(completeness, "missing").limit(len(ORDERS_COLUMNS))
-    return ordered.select(
-        (F.monotonically_increasing_id() + 1).alias("position"), "column_name", "missing_share"
-    )
+def columns_in_order(by: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ordered = tc.order_columns(tc.column_completeness(orders(spark, sf_dir)), by)
+        # One row per column: few enough for one window over the order they come in.
+        placed = ordered.withColumn("place", F.monotonically_increasing_id())
+        position = F.row_number().over(Window.orderBy("place"))
+        return placed.select(position.cast("long").alias("position"), "column_name", "missing_share")
+
+    return query
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -276,7 +279,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "completeness_levels_orders": lambda s, d: tc.with_level(tc.column_completeness(orders(s, d))).select(
             "column_name", "present_share", "level"
         ),
-        "columns_by_missing_share_orders": columns_by_missing_share,
+        "columns_by_missing_share_orders": columns_in_order("missing"),
+        "columns_by_present_share_orders": columns_in_order("present"),
+        "columns_in_source_order_orders": columns_in_order("source"),
         "completeness_export_orders": lambda s, d: tc.completeness_export(tc.column_completeness(orders(s, d))),
         # patterns
         "completeness_patterns_orders": lambda s, d: tc.completeness_patterns(orders(s, d), two),
@@ -340,6 +345,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summary_sorted_terms_part": lambda s, d: tc.sort_summary(
             tc.formal_terms(part(s, d), ["p_name"]), "value", keys=["value"], locale_text=True
         ),
+        "summary_canonical_positions_orders": lambda s, d: tc.canonical_order(
+            tc.formal_terms(orders(s, d), ["status", "priority", "qty_text"]), ["column_name", "value"], position="position"
+        ),
+        "summary_sorted_positions_orders": lambda s, d: tc.sort_summary(
+            tc.formal_terms(orders(s, d), ["status", "priority", "order_date"]), "value", True, ["column_name"], position="position"
+        ),
+        "rows_head_orders": lambda s, d: tc.head(orders(s, d), 100).to_df(["o_orderkey", "code", "priority"]),
+        "row_positions_lineitem": lambda s, d: with_row_position(read(s, d, "lineitem")).select("row_position", "l_orderkey", "l_linenumber"),
         # contracts
         "contract_orders": lambda s, d: tc.evaluate_contract(orders(s, d), CONTRACT),
         "contract_events": lambda s, d: tc.evaluate_contract(events(s, d), EVENTS_CONTRACT),
@@ -683,6 +696,10 @@ def oracle_sql() -> dict[str, str]:
         "completeness_levels_orders": f"with c as ({completeness}) select column_name, present_share, "
         "case when floor(present_share * 100 + 0.5) < 50 then 'low' "
         "when floor(present_share * 100 + 0.5) < 90 then 'moderate' else 'high' end as level from c",
+        "columns_by_present_share_orders": f"with c as ({completeness}) select "
+        "row_number() over (order by present_share desc, column_index) as position, column_name, missing_share from c",
+        "columns_in_source_order_orders": f"with c as ({completeness}) select "
+        "row_number() over (order by column_index) as position, column_name, missing_share from c",
         "columns_by_missing_share_orders": f"with c as ({completeness}) select "
         "row_number() over (order by missing_share desc, column_index) as position, column_name, missing_share from c",
         "completeness_export_orders": f"with c as ({completeness}) select column_name as \"column\", input_rows, "
@@ -753,6 +770,12 @@ def oracle_sql() -> dict[str, str]:
         "summary_missing_terms_orders": f"select * from ({terms_sql('orders_dirty', {n: ORDERS_TERMS[n] for n in two})}) "
         "where value is null",
         "summary_sorted_terms_part": terms_sql("part_text", {"p_name": (3, never)}),
+        "summary_canonical_positions_orders": f"select *, row_number() over (order by \"count\" desc, column_name, value nulls first) as position "
+        f"from ({terms_sql('orders_dirty', {n: ORDERS_TERMS[n] for n in ('status', 'priority', 'qty_text')})})",
+        "summary_sorted_positions_orders": "select *, row_number() over (order by value desc nulls last, \"count\" desc, column_name) as position "
+        f"from ({terms_sql('orders_dirty', {n: ORDERS_TERMS[n] for n in ('status', 'priority', 'order_date')})})",
+        "rows_head_orders": "select o_orderkey, code, priority from orders_dirty order by o_orderkey limit 100",
+        "row_positions_lineitem": "select row_number() over () - 1 as row_position, l_orderkey, l_linenumber from lineitem",
         "contract_orders": contract_sql(
             "orders_dirty",
             [

@@ -99,7 +99,7 @@ def dataset_health(completeness: DataFrame) -> DataFrame:
 
 def completeness_level(share: Column) -> Column:
     percent = F.floor(share * 100 + 0.5)
-    return F.when(percent < 50, "low").when(percent < 90, "moderate").otherwise("high")
+    return F.when(percent < 50, "low").when(percent < 90, "moderate").when(percent >= 90, "high")
 
 
 def with_level(completeness: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablecensus.operators import suggestions
 from tablecensus.operators.profile import SnapshotError
+from tablecensus.sources.row_ids import with_row_position
 from tablecensus.operators.ranking import ensure_checkpoint_dir, with_running_total
 
 
@@ -187,3 +188,23 @@ def test_pages_of_a_table_with_maps(spark, number):
     assert [row.m for row in rows] == ([{"k": i} for i in range(5)] if number == 1 else [])
     deep = tc.page_of_numbered(tc.table(df, order_by=["id"]), tc.number_rows(tc.table(df, order_by=["id"])), 2, 5).collect()
     assert [row.m for row in deep] == [{"k": i} for i in range(5, 10)]
+
+
+def test_row_positions_over_several_files(spark, tmp_path):
+    spark.range(1000).repartition(4).write.option("maxRecordsPerFile", 90).parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    first = {row.row_position: row.id for row in with_row_position(df).collect()}
+    assert sorted(first) == list(range(1000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        again = {row.row_position: row.id for row in with_row_position(spark.read.parquet(str(tmp_path / "rows"))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert again == first
+
+
+def test_summary_filter_on_a_number_and_level_of_nothing(text_table):
+    terms = tc.formal_terms(text_table(["v"], [["a"], ["a"], ["b"]]), ["v"])
+    assert [row.value for row in tc.filter_summary(terms, {"count": {"kind": "exact", "value": "2"}}).collect()] == ["a"]
+    empty = tc.with_level(tc.column_completeness(text_table(["v"], [])))
+    assert [row.level for row in empty.collect()] == [None]
