@@ -14,6 +14,7 @@ from .operators.details import (
     in_source_order,
     number_rows,
     page,
+    page_index,
     page_of_numbered,
     project,
     row_total,
@@ -61,7 +62,7 @@ from .sinks.csv import (
     write_rows,
 )
 from .sources.csv import read_csv
-from .sources.row_ids import with_file_row_id
+from .sources.row_ids import with_file_row_id, with_row_position
 from .table import Table, require_rows, table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -7,11 +7,15 @@ so the steps combine freely.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.missing import MISSING, PRESENT
 from ..functions.text import contains_casefolded
@@ -23,7 +27,6 @@ from .ranking import with_running_total
 PAGE_ROWS = 50
 # Up to here Spark's top-k keeps the rows before the page in memory of each task.
 SHALLOW_ROWS = 20_000
-LARGEST_LONG = 2**63 - 1
 
 FORMAT_TOKEN = re.compile(r"<([0-9]+) digits>")
 
@@ -118,22 +121,79 @@ def head(source: Table, rows: int) -> Table:
     )
 
 
-def page(source: Table, number: int, page_rows: int = PAGE_ROWS, columns: Sequence[str] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class PageIndex:
+    """Ranges of the source order: the least order values of each, and the rows before it."""
+
+    lows: tuple[Row, ...]
+    starts: tuple[int, ...]
+    total: int
+
+
+def page_index(source: Table) -> PageIndex:
+    """Where the rows of a table lie in its order; one small row per range reaches the driver.
+
+    Only the order columns are read and range-partitioned, and nothing but the bounds and counts is
+    kept. Equal order values share a range. Use it again for other pages of the same rows.
+    """
+    order = source.order_columns()
+    keys = source.df.select(F.struct(*[column.alias(f"order{i}") for i, column in enumerate(order)]).alias("key"))
+    parts = keys.repartitionByRange("key").groupBy(F.spark_partition_id().alias("part"))
+    found = sorted(parts.agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("rows")).collect(), key=lambda row: row["part"])
+    sizes = [row["rows"] for row in found]
+    return PageIndex(tuple(row["low"] for row in found), tuple(accumulate([0, *sizes[:-1]])), sum(sizes))
+
+
+def _literal(value: object, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(part, field.dataType).alias(field.name) for part, field in zip(value, kind.fields, strict=True)])
+    return F.lit(value).cast(kind)
+
+
+def _page_by_index(source: Table, index: PageIndex, offset: int, page_rows: int, columns: Sequence[str] | None) -> DataFrame:
+    if offset >= index.total:
+        return source.to_df(columns, source.df.where(F.lit(False)))
+    order = source.order_columns()
+    kinds = [source.df.select(column).schema[0].dataType for column in order]
+    first = bisect_right(index.starts, offset) - 1
+    after = bisect_left(index.starts, offset + page_rows)
+    key = F.struct(*[column.alias(f"order{i}") for i, column in enumerate(order)])
+
+    def bound(low: Row) -> Column:
+        return F.struct(*[_literal(value, kind).alias(f"order{i}") for i, (value, kind) in enumerate(zip(low, kinds, strict=True))])
+
+    rows = source.df.where(key >= bound(index.lows[first]))
+    # The leading column alone reaches the scan, where it skips files and row groups.
+    if index.lows[first][0] is not None:
+        rows = rows.where(order[0] >= _literal(index.lows[first][0], kinds[0]))
+    if after < len(index.lows):
+        rows = rows.where(key < bound(index.lows[after]))
+        if index.lows[after][0] is not None:
+            rows = rows.where(order[0].isNull() | (order[0] <= _literal(index.lows[after][0], kinds[0])))
+    part = with_tie(replace(source, df=rows))
+    return source.to_df(columns, part.orderBy(*order, "_tie").offset(offset - index.starts[first]).limit(page_rows))
+
+
+def page(
+    source: Table,
+    number: int,
+    page_rows: int = PAGE_ROWS,
+    columns: Sequence[str] | None = None,
+    index: PageIndex | None = None,
+) -> DataFrame:
     """One page of rows in source order, counted from 1; a page past the end is empty.
 
     Rows of equal order follow in the order of a hash of the whole row, so pages neither overlap nor
-    leave out rows. Pages far from the start are found by row position (see ``numbered``) instead of
-    keeping all rows before them.
+    leave out rows. Only the ranges that hold the page are read, hashed and sorted (see
+    ``page_index``); without an index the first pages take the least rows of the table instead.
     """
     if number < 1:
         raise ValueError("Pages are counted from 1.")
     offset = (number - 1) * page_rows
     order = source.order_columns()
-    if offset + page_rows <= SHALLOW_ROWS:
+    if index is None and offset + page_rows <= SHALLOW_ROWS:
         return source.to_df(columns, with_tie(source).orderBy(*order, "_tie").offset(offset).limit(page_rows))
-    if offset >= LARGEST_LONG - page_rows:
-        return source.to_df(columns, source.df.where(F.lit(False)))
-    return page_of_numbered(source, number_rows(source), number, page_rows, columns)
+    return _page_by_index(source, index or page_index(source), offset, page_rows, columns)
 
 
 def with_tie(source: Table) -> DataFrame:

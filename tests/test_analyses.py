@@ -346,3 +346,30 @@ def test_typed_columns_need_no_text(spark):
     assert [row.missing_count for row in tc.column_completeness(source).collect()] == [1, 2, 0]
     plan = tc.column_completeness(tc.table(df))._jdf.queryExecution().optimizedPlan().toString()
     assert "as string" not in plan
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_pages_by_index_equal_the_sorted_rows(spark, partitions):
+    r = random.Random(partitions)
+    rows = [(r.choice([None, *range(12)]), r.choice([None, "a", "b", "é"]), float(i % 5), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, s string, x double, id int").withColumn("m", F.create_map(F.lit("i"), F.col("id")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for order in (["k", "s"], ["s"], ["x", "k", "id"]):
+            source = tc.table(df.repartition(5), order_by=order)
+            index = tc.page_index(source)
+            assert index.total == 700
+            assert len(index.lows) > 1 or partitions == 1
+            pages = [tc.page(source, n, 90, index=index).collect() for n in range(1, 10)]
+            assert [len(p) for p in pages] == [90] * 7 + [70, 0]
+            found = [row for p in pages for row in p]
+            assert sorted(row.id for row in found) == list(range(700))
+            key = lambda row: [(row[c] is not None, row[c]) for c in order]
+            assert all(key(a) <= key(b) for a, b in zip(found, found[1:], strict=False))
+            shallow = [row for n in range(1, 10) for row in tc.page(source, n, 90).collect()]
+            assert shallow == found
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
