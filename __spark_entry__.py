@@ -26,7 +26,10 @@ try:  # the pipeline operators are an optional part
     import corpus_pipeline
     from tablecensus.llm.oracles import ORACLES as LLM_ORACLES
     from tablecensus.llm.queries import QUERIES as LLM_QUERIES
-except ImportError:
+except ModuleNotFoundError as error:
+    # Only the part itself may be absent, not a library that it needs.
+    if error.name != "corpus_pipeline" and not str(error.name).startswith("tablecensus.llm"):
+        raise
     LLM_QUERIES, LLM_ORACLES = {}, {}
 else:
     LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
