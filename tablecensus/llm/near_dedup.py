@@ -4,17 +4,16 @@ The k-mers of a document are its windows of five words, each with the number of
 sketch takes the few k-mers with the least hash and keeps them in text order, so that documents agree
 on a sketch when they share these k-mers in the same order. Documents that agree on a sketch are
 compared with one representative of it, then with all others of it that are not yet in their class;
-similarity is the share of k-mers that an alignment within a band of diagonals matches in order.
+similarity is edit similarity of the words, found by an alignment within a band of diagonals.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, stored
@@ -25,6 +24,8 @@ WORDS = 5
 ROWS = 500
 #: Members of a block of a bucket, and bits of the set that bounds what two texts can share.
 BLOCK, BITS = 256, 2048
+#: Texts that most rows hold: their rows are joined without a shuffle.
+HOT = 1000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,14 +49,9 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mixed(np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * powers[place], np.r_[0, np.cumsum(size)[:-1]]))
 
 
-def labelled_kmers(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Hashes of the windows of ``k`` words with their occurrence number; a shorter text is one window."""
-    w = word_hashes(text)
-    n = max(1, len(w) - k + 1) if len(w) else 0
-    h = np.zeros(n, np.uint64)
-    for j in range(min(k, len(w))):
-        h = h * MIX + w[j : j + n]
-    h = mixed(h)
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Hashes of ``h`` with their occurrence number, so that they are unique."""
+    n = len(h)
     order = np.argsort(h, kind="stable")
     s = h[order]
     fresh = np.r_[True, s[1:] != s[:-1]] if n else np.empty(0, bool)
@@ -67,6 +63,16 @@ def labelled_kmers(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.where(label > 0, mixed(h + label * MIX2), h)
 
 
+def labelled_kmers(text: str | None, k: int = WORDS) -> np.ndarray:
+    """Hashes of the windows of ``k`` words with their occurrence number; a shorter text is one window."""
+    w = word_hashes(text)
+    n = max(1, len(w) - k + 1) if len(w) else 0
+    h = np.zeros(n, np.uint64)
+    for j in range(min(k, len(w))):
+        h = h * MIX + w[j : j + n]
+    return labelled(mixed(h))
+
+
 def order_minhash(kmers: np.ndarray, sketches: int, per_sketch: int) -> np.ndarray:
     """One key per sketch: its least k-mers in text order."""
     seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * MIX)
@@ -84,31 +90,96 @@ def order_minhash(kmers: np.ndarray, sketches: int, per_sketch: int) -> np.ndarr
     return mixed(out)
 
 
-def aligned_share(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Matched k-mers of the best alignment over all k-mers of both; 0 where it cannot reach ``least``.
+def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The least number of words to insert, delete or replace between ``a`` and ``b``; None if over ``most``.
 
-    Labelled k-mers are unique within a document, so the best alignment is the longest increasing
-    chain of matches. An alignment that reaches ``least`` leaves at most ``band`` k-mers unmatched,
-    so its matches lie within that many diagonals.
+    The alignment keeps to the diagonals within ``most`` of the main one. A column of this band is one
+    integer of vertical differences (a bit is a row), so that a column costs a few operations on it;
+    from column to column the band moves down a row. Along its lower edge the cost is counted up, and
+    in the last row to the end. Words that are frequent in the longer text have a bit set of their
+    places, at most 512 of them; the places of the others are listed.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+    most = min(most, m)
+    if m - n > most:
+        return None
+    if not n:
+        return m
+    order = np.argsort(a, kind="stable")
+    words, begin = np.unique(a[order], return_index=True)
+    sets: dict[int, int] = {}
+    lists: dict[int, list[int]] = {}
+    wanted = set(b.tolist())
+    for word, at in zip(words.tolist(), np.split(order, begin[1:]), strict=True):
+        if word not in wanted:
+            continue
+        if len(at) > max(16, m // 512):
+            held = np.zeros(m, bool)
+            held[at] = True
+            sets[word] = int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
+        else:
+            lists[word] = at.tolist()
+    width = 2 * most + 2
+    full = (1 << width) - 1
+    up, down = full ^ ((1 << (width - most - 1)) - 1), 0
+    cost, edge, row = most, 1 << (width - 1), width - 2
+    for j, word in enumerate(b.tolist()):
+        top = j + most + 1 - width
+        if word in sets:
+            same = (sets[word] >> top if top >= 0 else sets[word] << -top) & full
+        else:
+            same = 0
+            for p in lists.get(word, ()):
+                if 0 <= p - top < width:
+                    same |= 1 << (p - top)
+        free = ((((same & up) + up) & full) ^ up) | same | down
+        right, left = down | (full & ~(free | up)), free & up
+        if j < m - most:
+            cost += not free & edge
+        else:
+            cost += (right >> row & 1) - (left >> row & 1)
+            row -= 1
+        free >>= 1
+        up, down = left | (full & ~(free | right)), free & right
+        # Each column that is left can bring the cost down by one at most, and only in the last row.
+        if cost - most > n - max(j + 1, m - most):
+            return None
+    return cost if cost <= most else None
+
+
+def edit_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
+    """One less the edits over the words of the longer text; 0 where it is below ``least``.
+
+    The budget of edits that ``least`` leaves bounds the band. It is tried from a narrow band on, so
+    that long texts with few edits cost little.
     """
-    total = len(a) + len(b)
-    band = int(total - 2 * np.ceil(total * least / (1 + least)) + 1)
-    if abs(len(a) - len(b)) > band or not total:
+    long = max(len(a), len(b))
+    most = int(long * (1 - least) + 1e-9)
+    if not long or abs(len(a) - len(b)) > most:
         return 0.0
-    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    keep = np.abs(at_a - at_b) <= band
-    at_b = at_b[keep][np.argsort(at_a[keep])]
-    if len(at_b) < least * (total - len(at_b)):
+    short = min(len(a), len(b))
+    apart = np.flatnonzero(a[:short] != b[:short])
+    head = int(apart[0]) if len(apart) else short
+    a, b = a[head:], b[head:]
+    short = min(len(a), len(b))
+    apart = np.flatnonzero(a[len(a) - short :] != b[len(b) - short :])
+    tail = short - 1 - int(apart[-1]) if len(apart) else short
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    # Words without a partner cost an edit each.
+    common = len(np.intersect1d(labelled(a), labelled(b), assume_unique=True))
+    least_edits = max(len(a), len(b)) - common
+    if least_edits > most:
         return 0.0
-    chain: list[int] = []
-    if (np.diff(at_b) > 0).all():
-        matched = len(at_b)
-    else:
-        for x in at_b.tolist():
-            i = bisect_left(chain, x)
-            chain[i : i + 1] = [x]
-        matched = len(chain)
-    return matched / (total - matched)
+    band = min(most, max(32, 2 * least_edits))
+    while True:
+        edits = edits_within(a, b, band)
+        if edits is not None:
+            return 1 - edits / long
+        if band == most:
+            return 0.0
+        band = min(most, 4 * band)
 
 
 def sketches(docs: DataFrame, n: int, per_sketch: int) -> DataFrame:
@@ -123,82 +194,113 @@ def sketches(docs: DataFrame, n: int, per_sketch: int) -> DataFrame:
                     keys = [order_minhash(k, n, per_sketch).view(np.int64) if len(k) else None for k in kmers]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_th", "keys"])
 
-    return docs.select("_id", "_th", "_text").mapInArrow(sketch, "_id long, _th string, keys array<long>")
+    return docs.select("_id", "_th", "_text").mapInArrow(sketch, "_id long, _th binary, keys array<long>")
+
+
+def text_key(text: Column) -> Column:
+    """A text by two 64-bit hashes: 16 bytes."""
+    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.lit(1), text))]
+    return F.unhex(F.concat(*halves))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    th = F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text)))
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), th.alias("_th"), text.alias("_text"))
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(text).alias("_th"), text.alias("_text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``pairs(a, b)`` with ``ok``; both texts are joined by id, where hot ids can be split."""
+    """``pairs(a, b)`` of text keys with ``ok``: whether their edit similarity reaches ``least``."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 ok = []
-                last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+                last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
                 for at in range(0, batch.num_rows, ROWS):
                     part = batch.slice(at, ROWS)
                     for b, x, y in zip(*[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                         if last[0] != b:
-                            last = (b, labelled_kmers(y))
-                        ok.append(aligned_share(labelled_kmers(x), last[1], least) >= least)
+                            last = (b, word_hashes(y))
+                        ok.append(edit_similarity(word_hashes(x), last[1], least) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("x"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("y"))
+    left = texts.select(F.col("_th").alias("a"), F.col("_text").alias("x"))
+    right = texts.select(F.col("_th").alias("b"), F.col("_text").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(align, "a long, b long, ok boolean")
+    return joined.mapInArrow(align, "a binary, b binary, ok boolean")
+
+
+def by_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``texts`` (one row per text key, ``n_same`` rows each).
+
+    The ``HOT`` most repeated texts go to all tasks, so that no text that more than one in ``HOT`` rows
+    holds is a key of the shuffle. The order by ``n_same`` and key makes the choice repeatable.
+    """
+    hot = stored(texts.where("n_same > 1").orderBy(F.desc("n_same"), "_th").limit(HOT), "near-repeated")
+    near = rows.join(F.broadcast(hot), "_th")
+    rest = rows.join(F.broadcast(hot.select("_th")), "_th", "left_anti").join(texts, "_th")
+    return near.unionByName(rest)
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, n_sketches: int = 40, per_sketch: int = 4) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), n_links, n_same.
+def near_classes(docs: DataFrame, least: float = 0.8, n_sketches: int = 40, per_sketch: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``(_id, _th)`` and their texts as ``(_th, rep, n_same, root, n_links)``.
 
-    ``n_links`` counts verified links of the document's text to other texts (two texts that other links
-    tied together first are not compared), ``n_same`` the rows with the same text. Texts without a word form one class. Rows without a doc_id belong to the class of
-    their text if another row with that text has one, else class_id is null. Rows with equal doc_id
-    are one document. An empty table gives an empty result.
+    ``rep`` is the smallest doc_id of a text, null where it has none, and ``root`` the least text key
+    of its class.
     """
     keys = stored(sketches(keyed(docs), n_sketches, per_sketch), "near-sketches")
-    # Equal texts are one document from here on, whatever their number.
-    rep = F.min("_id").alias("rep")
-    same = stored(keys.groupBy("_th").agg(rep, F.count("*").alias("n_same"), F.first("keys", ignorenulls=True).alias("keys")), "near-texts")
+    # Equal texts are one text from here on, whatever their number.
+    same = keys.groupBy("_th").agg(F.min("_id").alias("rep"), F.count("*").alias("n_same"), F.first("keys", ignorenulls=True).alias("keys"))
+    same = stored(same, "near-texts")
     links = stored(linked(docs, same, least, n_sketches), "near-links")
-    # Documents with one id and several texts tie these texts together.
-    ids = keys.select("_id", "_th").join(same.select("_th", "rep"), "_th").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
-    label = components(links.select("a", "b").union(ids.where("a <> b").distinct()), "near")
-    both = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    texts = same.drop("keys").join(label, same["rep"] == label["node"], "left").drop("node").join(both, "rep", "left")
-    texts = texts.select("_th", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_same")
-    return keys.select("_id", "_th").join(texts, "_th").select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_same", "_th")
+    # Several texts under one doc_id are one document: all are tied to the least of them.
+    rows = keys.select("_id", "_th")
+    spread = rows.where("_id is not null").groupBy("_id").agg(F.min("_th").alias("b"), F.max("_th").alias("c")).where("b <> c")
+    ids = rows.join(spread.select("_id", "b"), "_id").where("_th <> b").select(F.col("_th").alias("a"), "b").distinct()
+    label = components(links.union(ids), "near").withColumnRenamed("node", "_th")
+    both = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("_th")).agg(F.count("*").alias("n_links"))
+    texts = same.drop("keys").join(label, "_th", "left").join(both, "_th", "left")
+    return rows, stored(texts.select("_th", "rep", "n_same", F.coalesce("root", "_th").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "near-classes")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), n_links, n_same.
+
+    ``n_links`` counts verified links of the row's text to other texts (two texts that other links
+    tied together first are not compared), ``n_same`` the rows with the same text. Texts without a
+    word are alike only if they are equal; null counts as empty. Rows without a doc_id take part like
+    all others; class_id is null where no row of the class has one. Rows with equal doc_id are one
+    document. Other columns are not read. An empty table gives an empty result.
+    """
+    rows, texts = near_classes(docs, **options)
+    class_id = texts.groupBy("root").agg(F.min("rep").alias("class_id"))
+    texts = stored(texts.join(class_id, "root").select("_th", "class_id", "n_links", "n_same"), "near-class-ids")
+    return by_text(rows, texts).select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_same")
 
 
 def bounds(texts: DataFrame) -> DataFrame:
-    """``a``, the number ``m`` of k-mers, and the set ``bits`` of their hashes modulo ``BITS``."""
+    """``a``, the number ``m`` of words, and the set ``bits`` of their labelled hashes modulo ``BITS``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 sizes, sets = [], []
                 for t in batch.column(1):
-                    kmers = labelled_kmers(t.as_py())
+                    words = labelled(word_hashes(t.as_py()))
                     held = np.zeros(BITS, bool)
-                    held[(kmers % np.uint64(BITS)).astype(np.int64)] = True
-                    sizes.append(len(kmers))
+                    held[(words % np.uint64(BITS)).astype(np.int64)] = True
+                    sizes.append(len(words))
                     sets.append(np.packbits(held).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], ["a", "m", "bits"])
 
-    return texts.select("_id", "_text").mapInArrow(work, "a long, m int, bits binary")
+    return texts.select("_th", "_text").mapInArrow(work, "a binary, m int, bits binary")
 
 
 def met(x: np.ndarray, y: np.ndarray, s: int, roots: np.ndarray, m: np.ndarray, bits: np.ndarray, keys: np.ndarray, least: float) -> np.ndarray:
     """Which pairs of the members ``x, y`` of a bucket of sketch ``s`` may be links of two classes.
 
-    A pair is reported by the first sketch it shares only. Bits that one text alone has are k-mers
-    without a match, so a pair that is left out cannot reach ``least``.
+    A pair is reported by the first sketch it shares only. Bits that one text alone has are words
+    without a partner, each of which costs an edit, so a pair that is left out cannot reach ``least``.
     """
     at = np.flatnonzero(roots[x] != roots[y])
     if s:
@@ -206,7 +308,7 @@ def met(x: np.ndarray, y: np.ndarray, s: int, roots: np.ndarray, m: np.ndarray,
     x, y = x[at], y[at]
     most = m[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64)
     most = np.minimum(most, m[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
-    return at[most >= least * (m[x] + m[y] - most) - 1e-9]
+    return at[most >= least * np.maximum(m[x], m[y]) - 1e-9]
 
 
 def across(members: DataFrame, least: float, n_sketches: int) -> DataFrame:
@@ -230,7 +332,9 @@ def across(members: DataFrame, least: float, n_sketches: int) -> DataFrame:
 
         def compare() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
-            first, second, own, ids, roots, m, s = (numbers(table, c) for c in ("i", "j", "own", "a", "root", "m", "s"))
+            first, second, own, m, s = (numbers(table, c) for c in ("i", "j", "own", "m", "s"))
+            ids, roots = (pa.concat_arrays(table.column(c).chunks) for c in ("a", "root"))
+            roots = roots.dictionary_encode().indices.to_numpy()
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
             keys = pa.concat_arrays(table.column("keys").chunks).flatten().to_numpy().reshape(len(ids), n_sketches)
             key = numbers(table, "key")
@@ -245,8 +349,7 @@ def across(members: DataFrame, least: float, n_sketches: int) -> DataFrame:
                         x, y = x[x < y], y[x < y]
                     pick = met(x, y, int(s[lo]), roots, m, bits, keys, least)
                     if len(pick):
-                        p, q = ids[x[pick]], ids[y[pick]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[pick])), ids.take(pa.array(y[pick]))], ["a", "b"])
 
         # A group can go on in the next batch: its rows are held until it ends.
         for batch in batches:
@@ -263,16 +366,17 @@ def across(members: DataFrame, least: float, n_sketches: int) -> DataFrame:
         if held:
             yield from compare()
 
-    return cut.mapInArrow(work, "a long, b long")
+    pairs = cut.mapInArrow(work, "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> DataFrame:
-    """Verified links ``a, b`` between representatives, ``b`` the smaller.
+    """Verified links ``a, b`` between text keys, ``b`` the smaller.
 
     Any two texts that share a sketch and reach ``least`` are tied together: each text is compared with
     one representative of its buckets, and texts of different classes in a bucket with each other.
     """
-    spread = same.where("rep is not null and keys is not null").select(F.col("rep").alias("a"), F.col("keys"))
+    spread = same.where("keys is not null").select(F.col("_th").alias("a"), "keys")
     rows = spread.select("a", F.posexplode("keys").alias("s", "key"))
     # Only sketches that two texts share go on; counts are combined before the shuffle.
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -281,38 +385,42 @@ def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> D
     weight = stored(members.groupBy("a").agg(F.sum("n").alias("w")), "near-weights")
     lead = members.join(weight, "a").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "a"))["a"].alias("lead"))
     first = members.join(lead, "key").where("a <> lead").select(F.greatest("a", "lead").alias("a"), F.least("a", "lead").alias("b")).distinct()
-    texts = keyed(docs).where("_id is not null").select("_id", "_th", "_text")
-    wanted = same.select(F.col("rep").alias("_id"), "_th").join(weight.select(F.col("a").alias("_id")), "_id", "left_semi")
-    texts = stored(texts.join(wanted, ["_id", "_th"], "left_semi").dropDuplicates(["_id"]), "near-candidate-texts")
+    # Equal texts are combined before the shuffle, so that a hot one is one row per task.
+    wanted = weight.select(F.col("a").alias("_th"))
+    once = by_text(keyed(docs), same.select("_th", "rep", "n_same").join(wanted, "_th", "left_semi")).where("_id <=> rep")
+    texts = stored(once.groupBy("_th").agg(F.first("_text").alias("_text")), "near-candidate-texts")
     done = stored(verified(first, texts, least), "near-verified")
     label = components(done.where("ok").select("a", "b"), "near-first").withColumnRenamed("node", "a")
     rooted = stored(members.join(label, "a", "left").select("a", "key", "s", "n", F.coalesce("root", "a").alias("root")), "near-rooted")
     # Buckets of one class are settled; in the others all members stay, linked or not.
     mixed_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     left = stored(rooted.join(mixed_, "key", "left_semi"), "near-open")
-    whole = bounds(texts.join(left.select(F.col("a").alias("_id")).distinct(), "_id", "left_semi")).join(spread, "a")
+    whole = bounds(texts.join(left.select(F.col("a").alias("_th")).distinct(), "_th", "left_semi")).join(spread.select("a", "keys"), "a")
     pairs = stored(across(left.join(whole, "a"), least, n_sketches), "near-across")
     rest = stored(verified(pairs.join(done, ["a", "b"], "left_anti"), texts, least), "near-verified-across")
     return done.union(rest).where("ok").select("a", "b").distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest doc_id, all columns kept.
+    """``docs`` with one row of each class, all columns kept.
 
-    Rows without a doc_id stay unless their text is in a class with an id.
+    The row with the smallest doc_id stays; between texts of one doc_id, and in classes without any,
+    the one with the least text key. Of equal rows of it one stays.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"), **options)
-    keep = classes.groupBy("doc_id", "_th").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    keep = stored(keep.where("doc_id <=> class_id"), "near-kept")
-    # Texts of one id are one document: the one with the least text key stays.
-    first = keep.where("doc_id is not null").groupBy("doc_id").agg(F.min("_th").alias("_th"), F.min_by("n", "_th").alias("n"))
-    keep = first.union(keep.where("doc_id is null").select("doc_id", "_th", F.lit(1).cast("long")))
-    keep = stored(keep.select(F.col("doc_id").alias("_k"), F.col("_th").alias("_kt"), "n"), "near-kept-once")
+    rows, texts = near_classes(docs.select("doc_id", "text"), **options)
+    kept = texts.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "_th")).alias("k"))
+    kept = stored(kept.select(F.col("k._th").alias("_th"), F.col("k.rep").alias("_k")), "near-kept")
+
+    def row_key(text: Column, doc_id: Column) -> Column:
+        return text_key(F.concat_ws("-", F.hex(text), doc_id.cast("string"))).alias("_th")
+
+    # Rows are found by text and doc_id together, so that copies of a text under other ids spread.
+    # Equal rows are counted first: only repeated ones are sorted out by key.
+    once = rows.groupBy("_th", "_id").agg(F.count("*").alias("n_same"))
+    once = once.join(kept, (once["_th"] == kept["_th"]) & once["_id"].eqNullSafe(kept["_k"]))
+    once = stored(once.select(row_key(kept["_th"], F.col("_k")), "n_same"), "near-kept-once")
     packed = docs.select(F.struct("*").alias("_row"))
     text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
-    packed = packed.withColumns({"_id": F.col("_row.doc_id").cast("long"), "_th": F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text)))})
-    kept = packed.join(keep, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_kt")))
-    once = kept.where("n = 1").select("_row")
-    # Repeated rows of a kept document are rare: only they are sorted out by key.
-    several = kept.where("n > 1").dropDuplicates(["_id", "_th"]).select("_row")
-    return once.union(several).select("_row.*")
+    found = by_text(packed.select("_row", row_key(text_key(text), F.col("_row.doc_id").cast("long"))), once)
+    several = found.where("n_same > 1").dropDuplicates(["_th"])
+    return found.where("n_same = 1").select("_row").union(several.select("_row")).select("_row.*")

@@ -44,7 +44,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).drop("_th")
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,32 +93,112 @@ def test_near_copies_meet_and_others_do_not(spark, documents):
     assert kept == [0, 10, 11, 13, 15]
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y))
+    return row[-1]
+
+
+def test_banded_alignment_equals_the_whole_table():
+    r = random.Random(11)
+    for _ in range(1500):
+        words = r.choice([2, 3, 10, 1000])
+        a = [r.randrange(words) for _ in range(r.randrange(40))]
+        b = list(a) if r.random() < 0.8 else [r.randrange(words) for _ in range(r.randrange(40))]
+        for _ in range(r.randrange(10)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = [r.randrange(words)] * r.randrange(2)
+        want, x, y = word_edits(a, b), np.array(a, np.uint64), np.array(b, np.uint64)
+        for most in (0, 1, 2, 5, 9, 15, 50):
+            assert near_dedup.edits_within(x, y, most) == (want if want <= most else None)
+        long = max(len(a), len(b))
+        with np.errstate(over="ignore"):
+            for least in (0.5, 0.8, 0.9):
+                reached = long and want <= int(long * (1 - least) + 1e-9)
+                assert near_dedup.edit_similarity(x, y, least) == (1 - want / long if reached else 0.0)
+
+
+def classes_of(links, n):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        i, j = top(i), top(j)
+        root[max(i, j)] = min(i, j)
+    return [top(i) for i in range(n)]
+
+
 @pytest.mark.parametrize("copies", [300, 1000])
 def test_near_links_equal_brute_force_around_a_hub(spark, documents, copies):
-    # The copies are 0.85 like the base and less than 0.8 like each other; the id of the base is in the middle.
+    # Each copy has another run of 45 words than the base: 0.85 like the base, mostly below 0.8 like each other.
     base, r, middle = prose(4, 304).split(), random.Random(6), copies // 2
     texts = []
     for i in range(copies + 1):
         words = list(base)
         if i != middle:
-            begin = r.randrange(8)
-            for k in range(5):
-                words[begin + 60 * k + r.randrange(50)] = f"edit{i}x{k}"
+            begin = r.randrange(260)
+            words[begin : begin + 45] = [f"edit{i}x{k}" for k in range(len(words[begin : begin + 45]))]
         texts.append(" ".join(words))
     with np.errstate(over="ignore"):
-        kmers = [near_dedup.labelled_kmers(t) for t in texts]
-        keys = np.array([near_dedup.order_minhash(k, 40, 4) for k in kmers])
-        like = lambda i, j: near_dedup.aligned_share(kmers[i], kmers[j], 0.8) >= 0.8
-        linked = {(i, j) for i in range(copies + 1) for j in np.flatnonzero((keys[:i] == keys[i]).any(axis=1)).tolist() if like(i, j)}
-    root = list(range(copies + 1))
-    while any(root[i] != root[j] for i, j in linked):
-        for i, j in linked:
-            root[i] = root[j] = min(root[i], root[j])
+        keys = np.array([near_dedup.order_minhash(near_dedup.labelled_kmers(t), 40, 4) for t in texts])
+        words = [near_dedup.word_hashes(t) for t in texts]
+        like = lambda i, j: near_dedup.edit_similarity(words[i], words[j], 0.8) >= 0.8
+        linked = [(i, j) for i in range(copies + 1) for j in np.flatnonzero((keys[:i] == keys[i]).any(axis=1)).tolist() if like(i, j)]
+    root = classes_of(linked, copies + 1)
     assert root.count(root[middle]) > copies * 0.9
     out = near_dedup.near_duplicates(documents(list(enumerate(texts)))).collect()
     assert {x.doc_id: x.class_id for x in out} == dict(enumerate(root))
 
 
+def test_near_copies_without_ids_and_under_one_id(spark, documents):
+    base = prose(1, 200).split()
+    near = lambda i: " ".join([*base[:i], f"changed{i}", *base[i + 1 :]])
+    other = prose(2, 100)
+    rows = [(None, near(3)), (None, near(90)), (None, near(90)), (None, other), (None, other + " end")]
+    classes = near_dedup.near_duplicates(documents(rows)).collect()
+    assert [r.class_id for r in classes] == [None] * 5
+    assert all(r.n_links for r in classes)
+    assert near_dedup.one_of_each(documents(rows)).count() == 2
+    # Document 7 has two texts: it ties copies of both together; rows without an id join their class.
+    rows += [(7, near(50)), (7, other + " close"), (9, near(60)), (8, other)]
+    classes = near_dedup.near_duplicates(documents(rows)).collect()
+    assert {r.class_id for r in classes} == {7} and len(classes) == 9
+    assert [r.doc_id for r in near_dedup.one_of_each(documents(rows)).collect()] == [7]
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9])
+def test_near_copies_are_found_among_all_pairs(spark, sf_dir, least):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = docs.collect()
+    with np.errstate(over="ignore"):
+        words = {r.doc_id: near_dedup.word_hashes(r.text) for r in texts}
+        bags = {i: np.sort(near_dedup.labelled(w)) for i, w in words.items()}
+        ids, pairs = sorted((i for i in words if len(words[i])), key=lambda i: len(words[i])), []
+        for k, i in enumerate(ids):
+            for j in ids[k + 1 :]:
+                long = len(words[j])
+                if len(words[i]) < least * long:
+                    break
+                if len(np.intersect1d(bags[i], bags[j], assume_unique=True)) >= least * long - 1e-9:
+                    if near_dedup.edit_similarity(words[i], words[j], least) >= least:
+                        pairs.append((i, j))
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, least=least).collect()}
+    text = {r.doc_id: r.text for r in texts}
+    unlike = [(i, j) for i, j in pairs if text[i] != text[j]]
+    met = sum(found[i] == found[j] for i, j in unlike)
+    print(f"{met} of {len(unlike)} pairs of different texts at {least}")
+    assert unlike and met >= 0.9 * len(unlike)
+    assert all(found[i] == found[j] for i, j in pairs if text[i] == text[j])
+
+
+
 def edits(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
