@@ -22,6 +22,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 WORDS = 5
 ROWS = 500
+#: Hashes that are held at once while a text is sketched.
+CELLS = 1 << 14
 #: Members of a block of a bucket, and bits of the set that bounds what two texts can share.
 BLOCK, BITS = 256, 2048
 #: Texts that most rows hold: their rows are joined without a shuffle.
@@ -74,19 +76,23 @@ def labelled_kmers(text: str | None, k: int = WORDS) -> np.ndarray:
 
 
 def order_minhash(kmers: np.ndarray, sketches: int, per_sketch: int) -> np.ndarray:
-    """One key per sketch: its least k-mers in text order."""
+    """One key per sketch: its least k-mers in text order.
+
+    Many sketches are taken in one step, as many as keep the table of hashes at ``CELLS``.
+    """
     seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * MIX)
     out = np.empty(sketches, np.uint64)
     take = min(per_sketch, len(kmers))
-    for i, seed in enumerate(seeds):
-        h = (kmers ^ seed) * MIX
+    step = max(1, CELLS // len(kmers))
+    for at in range(0, sketches, step):
+        seed = seeds[at : at + step]
+        h = (kmers ^ seed[:, None]) * MIX
         h ^= h >> np.uint64(32)
         h *= MIX2
-        least = np.sort(np.argpartition(h, take - 1)[:take])
         key = seed
-        for x in kmers[least]:
+        for x in kmers[np.sort(np.argpartition(h, take - 1, axis=1)[:, :take], axis=1)].T:
             key = key * MIX + x
-        out[i] = key
+        out[at : at + step] = key
     return mixed(out)
 
 

@@ -43,19 +43,20 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     """
     edges = links.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = stored(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    label = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{name}-0")
+    first = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    label = stored(first.select("node", F.least("node", "m").alias("root")), f"{name}-0")
     round_ = 0
     while True:
         round_ += 1
-        near = edges.join(label.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
+        near = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root"))
         # A root that learns of a smaller label passes it on to all nodes it stands for.
         old = label.select("node", F.col("root").alias("old"))
-        lower = near.join(old, "node").select(F.explode(F.array(F.col("node"), F.col("old"))).alias("node"), "root")
-        best = label.union(lower).groupBy("node").agg(F.min("root").alias("root"))
+        lower = near.join(old, "node").where("root < old").select(F.explode(F.array("node", "old")).alias("node"), "root")
+        known = label.select("node", "root", F.col("root").alias("old"))
+        best = known.unionByName(lower, allowMissingColumns=True).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         above = best.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = best.join(above, "root", "left").select("node", F.least("root", "up").alias("root"))
+        jumped = best.join(above, "root", "left").select("node", F.least("root", "up").alias("root"), "old")
         fresh = stored(jumped, f"{name}-{round_}")
-        changed = fresh.join(old, "node").where("root <> old").limit(1).count()
-        label = fresh
-        if not changed:
+        label = fresh.select("node", "root")
+        if fresh.where("root <> old").isEmpty():
             return label
