@@ -121,10 +121,19 @@ def thresholds(slim: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with a column ``copies``: how often the mix takes the row; rows taken never are gone."""
+    """``docs`` with a column ``copies``: how often the mix takes the row; rows taken never are gone.
+
+    Where ``docs`` has a column of that name, the new one is ``copies_2``, or the next free number.
+    Other cases as in ``mix``: rows without a word are never taken, null sources are one source,
+    equal documents are taken together, an empty table gives an empty result.
+    """
+    have, name, number = {c.lower() for c in docs.columns}, "copies", 1
+    while name in have:
+        number += 1
+        name = f"copies_{number}"
     row = docs.select(F.struct("*").alias("_row"))
     row = row.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_row.source").cast("string").alias("_source"))
     goal = plan(stored(with_size(row.drop("_row")).drop("text"), "mix-sizes"), **options)
     joined = with_size(row).join(within_bound(goal.withColumnRenamed("_source", "_t_source")), F.col("_source").eqNullSafe(F.col("_t_source")))
     taken = joined.withColumn("_copies", copies()).where("_copies > 0")
-    return taken.select("_row.*", F.col("_copies").alias("copies"))
+    return taken.select("_row.*", F.col("_copies").alias(name))

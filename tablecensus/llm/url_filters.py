@@ -1,12 +1,12 @@
 """URL filters: host suffixes and path prefixes joined to rules on a short hash, then confirmed.
 
-Only the shapes (number of host labels, length of path) that some rule has are expanded, so a long
-host or path costs no more than a short one.
+Host suffixes meet the hosts of the rules first. Of a path only those prefixes are expanded whose
+lengths the rules of a host found have, so rules may have any number of path lengths.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The rules of the registered query, (host, path, verdict).
@@ -17,7 +17,6 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-MAX_RULE_SHAPES = 256
 MAX_BROADCAST_RULES = 100_000
 
 
@@ -30,8 +29,16 @@ def host_and_path(url):
     return host, path
 
 
-def digest(host, path):
-    return F.sha2(F.concat(host, F.lit("\n"), path), 256)
+def digest(host: Column, path: Column | None = None) -> Column:
+    return F.sha2(host if path is None else F.concat(host, F.lit("\n"), path), 256)
+
+
+def confirmed(expressions: DataFrame, table: DataFrame) -> DataFrame:
+    """``expressions`` joined to the rows of ``table`` with their ``_digest``: by 8 digits, then by all."""
+    short = table.withColumn("_short", F.substring("_digest", 1, 8)).withColumnRenamed("_digest", "_full")
+    if table.count() <= MAX_BROADCAST_RULES:
+        short = F.broadcast(short)
+    return expressions.withColumn("_short", F.substring("_digest", 1, 8)).join(short, "_short").where("_full = _digest").drop("_short", "_full", "_digest")
 
 
 def url_filters(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -44,38 +51,26 @@ def url_filters(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """
     wanted = rules.select("host", "path", "verdict").where("host is not null and path is not null")
     wanted = wanted.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    wanted = wanted.select(
-        F.concat("host", "path").alias("_rule"), "verdict", F.size(F.split("host", r"\.")).alias("_labels"),
-        F.length("path").alias("_chars"), digest(F.col("host"), F.col("path")).alias("_digest"),
-    ).withColumn("_short", F.substring("_digest", 1, 8))
-    shapes = sorted((r[0], r[1]) for r in wanted.select("_labels", "_chars").distinct().take(MAX_RULE_SHAPES + 1))
-    if len(shapes) > MAX_RULE_SHAPES:
-        raise ValueError(f"rules have more than {MAX_RULE_SHAPES} shapes of host labels and path lengths")
-    if wanted.count() <= MAX_BROADCAST_RULES:
-        wanted = F.broadcast(wanted)
+    hosts = wanted.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.length("path")).alias("_lengths"))
+    most = hosts.agg(F.max(F.size(F.split("_host", r"\."))).alias("n")).first()["n"] or 0
+    hosts = hosts.withColumn("_digest", digest(F.col("_host")))
+    wanted = wanted.select(F.concat("host", "path").alias("_rule"), "verdict", digest(F.col("host"), F.col("path")).alias("_digest"))
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    # The id is a row's place in the scan, so that repeated pages stay apart.
-    parts = parts.withColumn("_row", F.monotonically_increasing_id())
     labels = parts.withColumn("_parts", F.split("host", r"\."))
-    tried = F.array(
-        *[
-            F.when(
-                (F.size("_parts") >= n) & (F.length("path") >= k),
-                F.struct(
-                    F.array_join(F.slice("_parts", F.greatest(F.size("_parts") - n + 1, F.lit(1)), n), ".").alias("h"),
-                    F.substring("path", 1, k).alias("p"),
-                ),
-            )
-            for n, k in shapes
-        ]
-    ).cast("array<struct<h:string,p:string>>")
-    expanded = labels.select("_row", F.explode(F.array_compact(tried)).alias("_x"))
-    expanded = expanded.select("_row", digest(F.col("_x.h"), F.col("_x.p")).alias("_full"))
-    expanded = expanded.withColumn("_short", F.substring("_full", 1, 8))
-    hits = expanded.join(wanted, "_short").where("_full = _digest")
-    best = F.max(F.struct(F.length("_rule"), F.col("verdict"), F.col("_rule"))).alias("_best")
-    found = hits.groupBy("_row").agg(best)
-    return parts.join(found, "_row", "left").select(
-        "page_id", "host", "path", F.col("_best._rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict")
-    )
+    # The last labels of the host, as many as some rule's host has at most.
+    count = F.least(F.size("_parts"), F.lit(most))
+    suffixes = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda n: F.array_join(F.slice("_parts", F.size("_parts") - n + 1, n), ".")))
+    expanded = labels.select("page_id", "host", "path", F.explode(suffixes).alias("_suffix")).withColumn("_digest", digest(F.col("_suffix")))
+    met = confirmed(expanded, hosts)
+    lengths = F.filter("_lengths", lambda n: n <= F.length("path"))
+    tried = met.select("page_id", "host", "path", "_host", F.explode(lengths).alias("_n"))
+    tried = tried.select("page_id", "host", "path", digest(F.col("_host"), F.expr("substring(path, 1, _n)")).alias("_digest"))
+    best = F.struct(F.length("_rule").alias("chars"), "verdict", "_rule").alias("_best")
+    hits = confirmed(tried, wanted).select("page_id", "host", "path", F.lit(0).alias("_one"), best)
+    # Equal pages are one row here, with their number. No row needs a name, so that a repeated task
+    # or another order of the rows changes nothing.
+    rows = parts.withColumn("_one", F.lit(1)).unionByName(hits, allowMissingColumns=True)
+    judged = rows.groupBy("page_id", "host", "path").agg(F.sum("_one").alias("_n"), F.max("_best").alias("_best"))
+    judged = judged.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return judged.select("page_id", "host", "path", F.col("_best._rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))

@@ -277,3 +277,37 @@ def test_pipeline_keeps_columns_and_drops_what_its_stages_name(spark, driver, sf
     kept = {r.doc_id for r in out.collect()}
     good = {r.doc_id for r in quality_rules.quality_rules(docs).where("kept").collect()}
     assert kept and kept <= good
+
+
+def test_any_number_of_rules_of_other_lengths(spark):
+    rules = [(f"h{i % 7}.net", "/" + "a" * i, "block") for i in range(400)]
+    rules += [("net", "/", "allow"), ("net", "", "block"), ("a.b.c.d.e.f.g", "", "block"), (None, "/", "block"), ("net", None, "block")]
+    urls = [f"http://{'x.' * (i % 3)}h{i % 9}.net/{'a' * (i * 5 % 450)}{'b' if i % 4 else ''}" for i in range(300)]
+    urls += ["http://net", "http://a.b.c.d.e.f.g/x", "http://z.a.b.c.d.e.f.g", "http://b.c.d.e.f.g", "http://", None, "no host"]
+    pages = list(enumerate(urls)) + [(0, urls[0])] * 3 + [(None, urls[7]), (None, urls[7]), (0, urls[1])]
+
+    def judged(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, _, path = rest.partition("/")
+        path = "/" + path if "/" in rest else ""
+        fits = [(len(h + p), v, h + p) for h, p, v in rules if h and p is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *((max(fits)[2], max(fits)[1]) if fits else (None, "allow")))
+
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = url_filters.url_filters(spark.createDataFrame(pages, "page_id long, url string").repartition(4), table).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, *judged(u)) for i, u in pages), key=repr)
+
+
+def test_no_rules_and_no_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x")], "page_id long, url string")
+    table = spark.createDataFrame([], "host string, path string, verdict string")
+    assert [tuple(r) for r in url_filters.url_filters(pages, table).collect()] == [(1, "a.net", "/x", None, "allow")] * 2
+    assert url_filters.url_filters(pages.limit(0), table).collect() == []
+
+
+def test_mix_keeps_a_column_named_copies(spark, documents):
+    docs = documents([(1, "a b", "en", "s"), (2, "c d e", "en", "t"), (3, None, "en", None)])
+    docs = docs.withColumn("Copies", F.lit("own"))
+    out = mixing.mixed(docs)
+    assert out.columns == [*docs.columns, "copies_2"]
+    assert {r["Copies"] for r in out.select("Copies", "copies_2").collect()} == {"own"}
