@@ -151,10 +151,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_
     The model is fitted on the driver from the features of at most ``max_train_rows`` labelled rows.
     Labels other than 0 and 1 and null ids are not learned from, of conflicting labels 0 counts;
     without both labels all scores are the share of label 1. Null and empty texts are scored by their
-    zero counts. Repeated rows are scored each for itself; empty tables give empty results.
+    zero counts. Of several texts under one labelled id the one with the least features is learned from.
+    Repeated rows are scored each for itself; empty tables give empty results.
     """
     features = stored(with_features(docs), "quality-features")
-    rows = training_rows(features.dropDuplicates(["doc_id"]), labels, "quality", max_train_rows).select("x", "y").collect()
+    # Of several texts under one labelled id always the same one.
+    known = training_rows(features, labels, "quality", max_train_rows)
+    rows = known.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("x", "y").collect()
     rows.sort(key=lambda r: (list(r.x), r.y))
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     model = fit(x, np.array([r.y for r in rows], float))
