@@ -258,12 +258,13 @@ def near_classes(docs: DataFrame, least: float = 0.8, n_sketches: int = 40, per_
     # Equal texts are one text from here on, whatever their number.
     same = keys.groupBy("_th").agg(F.min("_id").alias("rep"), F.count("*").alias("n_same"), F.first("keys", ignorenulls=True).alias("keys"))
     same = stored(same, "near-texts")
-    links = stored(linked(docs, same, least, n_sketches), "near-links")
+    first, classes, across_ = linked(docs, same, least, n_sketches)
+    links = first.union(across_)
     # Several texts under one doc_id are one document: all are tied to the least of them.
     rows = keys.select("_id", "_th")
     spread = rows.where("_id is not null").groupBy("_id").agg(F.min("_th").alias("b"), F.max("_th").alias("c")).where("b <> c")
     ids = rows.join(spread.select("_id", "b"), "_id").where("_th <> b").select(F.col("_th").alias("a"), "b").distinct()
-    label = components(links.union(ids), "near").withColumnRenamed("node", "_th")
+    label = joined_classes(classes, across_.union(ids)).withColumnRenamed("node", "_th")
     both = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("_th")).agg(F.count("*").alias("n_links"))
     texts = same.drop("keys").join(label, "_th", "left").join(both, "_th", "left")
     return rows, stored(texts.select("_th", "rep", "n_same", F.coalesce("root", "_th").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "near-classes")
@@ -279,7 +280,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     document. Other columns are not read. An empty table gives an empty result.
     """
     rows, texts = near_classes(docs, **options)
-    class_id = texts.groupBy("root").agg(F.min("rep").alias("class_id"))
+    # Written first: a class of many texts can then be split in the join.
+    class_id = stored(texts.groupBy("root").agg(F.min("rep").alias("class_id")), "near-roots")
     texts = stored(texts.join(class_id, "root").select("_th", "class_id", "n_links", "n_same"), "near-class-ids")
     return by_text(rows, texts).select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_same")
 
@@ -317,67 +319,107 @@ def met(x: np.ndarray, y: np.ndarray, s: int, roots: np.ndarray, m: np.ndarray,
     return at[most >= least * np.maximum(m[x], m[y]) - 1e-9]
 
 
-def across(members: DataFrame, least: float, n_sketches: int) -> DataFrame:
-    """Pairs ``a, b`` of members of one bucket and different classes that may be links.
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of ``key, i, j``, as tables that cut no group in two."""
+    held: list[pa.RecordBatch] = []
+    last: tuple[int, ...] | None = None
+    # A group can go on in the next batch: its rows are held until it ends.
+    for batch in batches:
+        group = [batch.column(c).to_pylist() for c in range(3)]
+        group = list(zip(*group, strict=True))
+        ends = [k for k, g in enumerate(group) if g != (group[k - 1] if k else last)]
+        if not ends:
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, ends[-1]))
+        if sum(h.num_rows for h in held):
+            yield pa.Table.from_batches(held).combine_chunks()
+        held, last = [batch.slice(ends[-1])], group[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def meetings(table: pa.Table, least: float, n_sketches: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The start of each group of ``table`` with rows ``x, y`` of it that may be links, in several parts."""
+
+    def numbers(name: str) -> np.ndarray:
+        return table.column(name).to_numpy().astype(np.int64)
+
+    key, first, second, own, m, s = (numbers(c) for c in ("key", "i", "j", "own", "m", "s"))
+    roots = pa.concat_arrays(table.column("root").chunks).dictionary_encode().indices.to_numpy()
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
+    keys = pa.concat_arrays(table.column("keys").chunks).flatten().to_numpy().reshape(len(key), n_sketches)
+    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    for lo, hi in zip(start, np.r_[start[1:], len(key)], strict=True):
+        row = np.arange(lo, hi)
+        same = first[lo] == second[lo]
+        left, right = (row, row) if same else (row[own[lo:hi] == first[lo]], row[own[lo:hi] == second[lo]])
+        for at in range(0, len(left), 32):
+            x, y = (g.ravel() for g in np.meshgrid(left[at : at + 32], right, indexing="ij"))
+            if same:
+                x, y = x[x < y], y[x < y]
+            pick = met(x, y, int(s[lo]), roots, m, bits, keys, least)
+            if len(pick):
+                yield int(lo), x[pick], y[pick]
+
+
+def across(members: DataFrame, texts: DataFrame, least: float, n_sketches: int) -> DataFrame:
+    """Links ``a, b`` between members of one bucket and different classes, ``b`` the smaller.
 
     A bucket is cut into blocks; each pair of blocks is compared where its key puts it, so the
-    members of a large bucket spread over many tasks.
+    members of a large bucket spread over many tasks. A first pass leaves the members that may have a
+    link; these get their texts and are aligned in their blocks. Pairs never become rows before they
+    are links: a text is sent once for each pair of blocks, not for each pair of texts.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     cut = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", "own", "a", "root", "m", "bits", "keys")
-    cut = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last: tuple[int, ...] | None = None
-
-        def numbers(table: pa.Table, name: str) -> np.ndarray:
-            return table.column(name).to_numpy().astype(np.int64)
-
-        def compare() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            first, second, own, m, s = (numbers(table, c) for c in ("i", "j", "own", "m", "s"))
-            ids, roots = (pa.concat_arrays(table.column(c).chunks) for c in ("a", "root"))
-            roots = roots.dictionary_encode().indices.to_numpy()
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-            keys = pa.concat_arrays(table.column("keys").chunks).flatten().to_numpy().reshape(len(ids), n_sketches)
-            key = numbers(table, "key")
-            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-            for lo, hi in zip(start, np.r_[start[1:], len(ids)], strict=True):
-                row = np.arange(lo, hi)
-                same = first[lo] == second[lo]
-                left, right = (row, row) if same else (row[own[lo:hi] == first[lo]], row[own[lo:hi] == second[lo]])
-                for at in range(0, len(left), 32):
-                    x, y = (g.ravel() for g in np.meshgrid(left[at : at + 32], right, indexing="ij"))
-                    if same:
-                        x, y = x[x < y], y[x < y]
-                    pick = met(x, y, int(s[lo]), roots, m, bits, keys, least)
-                    if len(pick):
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[pick])), ids.take(pa.array(y[pick]))], ["a", "b"])
-
-        # A group can go on in the next batch: its rows are held until it ends.
-        for batch in batches:
-            group = [batch.column(c).to_pylist() for c in range(3)]
-            group = list(zip(*group, strict=True))
-            ends = [k for k, g in enumerate(group) if g != (group[k - 1] if k else last)]
-            if not ends:
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, ends[-1]))
-            if sum(h.num_rows for h in held):
-                yield from compare()
-            held, last = [batch.slice(ends[-1])], group[-1]
-        if held:
-            yield from compare()
-
-    pairs = cut.mapInArrow(work, "a binary, b binary")
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            found = np.zeros(table.num_rows, bool)
+            for _, x, y in meetings(table, least, n_sketches):
+                found[x] = found[y] = True
+            yield from table.filter(pa.array(found)).to_batches()
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for table in whole_groups(batches):
+                ids, text = (pa.concat_arrays(table.column(c).chunks) for c in ("a", "_text"))
+                group, words = None, {}
+                for lo, x, y in meetings(table, least, n_sketches):
+                    if lo != group:
+                        group, words = lo, {}
+                    for k in {*x.tolist(), *y.tolist()} - words.keys():
+                        h = word_hashes(text[k].as_py())
+                        words[k] = h, np.sort(labelled(h))
+                    ok = [linkable(*words[i], *words[j], least) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+                    if any(ok):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(g[ok])) for g in (x, y)], ["a", "b"])
+
+    found = stored(grouped(cut).mapInArrow(open_, cut.schema), "near-across")
+    named = found.join(texts.withColumnRenamed("_th", "a"), "a").select(*cut.columns, "_text")
+    pairs = grouped(named).mapInArrow(align, "a binary, b binary")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> DataFrame:
-    """Verified links ``a, b`` between text keys, ``b`` the smaller.
+def linkable(a: np.ndarray, bag_a: np.ndarray, b: np.ndarray, bag_b: np.ndarray, least: float) -> bool:
+    """Whether two texts reach ``least``; words without a partner in the other bag settle most pairs."""
+    long = max(len(a), len(b))
+    both = np.concatenate((bag_a, bag_b))
+    both.sort(kind="stable")
+    if long - np.count_nonzero(both[1:] == both[:-1]) > int(long * (1 - least) + 1e-9):
+        return False
+    return edit_similarity(a, b, least) >= least
+
+
+def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links ``a, b`` between text keys, ``b`` the smaller: those to the representative of a
+    bucket, the classes ``(node, root)`` that these make, and the links between such classes.
 
     Any two texts that share a sketch and reach ``least`` are tied together: each text is compared with
     one representative of its buckets, and texts of different classes in a bucket with each other.
@@ -395,16 +437,30 @@ def linked(docs: DataFrame, same: DataFrame, least: float, n_sketches: int) -> D
     wanted = weight.select(F.col("a").alias("_th"))
     once = by_text(keyed(docs), same.select("_th", "rep", "n_same").join(wanted, "_th", "left_semi")).where("_id <=> rep")
     texts = stored(once.groupBy("_th").agg(F.first("_text").alias("_text")), "near-candidate-texts")
-    done = stored(verified(first, texts, least), "near-verified")
-    label = components(done.where("ok").select("a", "b"), "near-first").withColumnRenamed("node", "a")
+    done = stored(verified(first, texts, least), "near-verified").where("ok").select("a", "b")
+    classes = components(done, "near-first")
+    label = classes.withColumnRenamed("node", "a")
     rooted = stored(members.join(label, "a", "left").select("a", "key", "s", "n", F.coalesce("root", "a").alias("root")), "near-rooted")
     # Buckets of one class are settled; in the others all members stay, linked or not.
     mixed_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     left = stored(rooted.join(mixed_, "key", "left_semi"), "near-open")
     whole = bounds(texts.join(left.select(F.col("a").alias("_th")).distinct(), "_th", "left_semi")).join(spread.select("a", "keys"), "a")
-    pairs = stored(across(left.join(whole, "a"), least, n_sketches), "near-across")
-    rest = stored(verified(pairs.join(done, ["a", "b"], "left_anti"), texts, least), "near-verified-across")
-    return done.union(rest).where("ok").select("a", "b").distinct()
+    rest = stored(across(left.join(whole, "a"), texts, least, n_sketches), "near-verified-across")
+    return done, classes, rest
+
+
+def joined_classes(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """``classes(node, root)`` tied together by the links ``more(a, b)``, whose ends may be new nodes.
+
+    Only the links between the roots go through all rounds again.
+    """
+    own = classes.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    other = classes.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    ends = more.join(own, "a", "left").join(other, "b", "left")
+    roots = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), "near")
+    up = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = classes.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.union(roots.join(classes.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

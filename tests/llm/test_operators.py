@@ -157,6 +157,35 @@ def test_near_links_equal_brute_force_around_a_hub(spark, documents, copies):
     assert {x.doc_id: x.class_id for x in out} == dict(enumerate(root))
 
 
+def test_texts_that_meet_without_a_link_are_never_rows_by_pairs(spark, documents, monkeypatch):
+    # 200 texts share a passage of 600 words and have 200 words of their own: 0.75 like each other.
+    passage = prose(8, 600)
+    texts = [passage + " " + " ".join(f"own{i}x{k}" for k in range(200)) for i in range(200)]
+    made, tied, stored, components = {}, [], near_dedup.stored, near_dedup.components
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = out.count()
+        return out
+
+    def watched(links, name):
+        tied.append(links.count())
+        return components(links, name)
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    monkeypatch.setattr(near_dedup, "components", watched)
+    out = near_dedup.near_duplicates(documents(list(enumerate(texts)))).collect()
+    assert {r.doc_id: r.class_id for r in out} == {i: i for i in range(200)}
+    assert 0 < made["near-across"] <= made["near-open"] < 200 * 199 / 2
+    # What the first round has tied together is not tied again.
+    base = passage.split()
+    copies = [" ".join([*base[:i], f"changed{i}", *base[i + 1 :]]) for i in range(0, 600, 10)]
+    tied.clear()
+    out = near_dedup.near_duplicates(documents(list(enumerate([passage, *copies])))).collect()
+    assert {r.class_id for r in out} == {0}
+    assert tied[0] >= 60 and tied[1] == 0
+
+
 def test_near_copies_without_ids_and_under_one_id(spark, documents):
     base = prose(1, 200).split()
     near = lambda i: " ".join([*base[:i], f"changed{i}", *base[i + 1 :]])
