@@ -340,3 +340,18 @@ def test_mix_keeps_a_column_named_copies(spark, documents):
     out = mixing.mixed(docs)
     assert out.columns == [*docs.columns, "copies_2"]
     assert {r["Copies"] for r in out.select("Copies", "copies_2").collect()} == {"own"}
+
+
+def test_the_quality_verdict_is_compiled(spark, documents):
+    # Code of more than 64 KB is not: the driver tries at great cost, and the rows are interpreted.
+    counted = near_dedup.stored(quality_rules.with_counts(documents([(1, prose(1, 300))])), "quality")
+    refs = near_dedup.stored(quality_rules.references(counted), "references")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = quality_rules.with_verdict(counted, refs).select("doc_id", "_v.kept")._jdf.queryExecution()
+        code = plan.debug().codegenToSeq()
+        sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and min(sizes) > 0
