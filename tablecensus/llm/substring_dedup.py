@@ -9,12 +9,17 @@
   covered. Names are 64-bit and 48-bit hashes; only equality matters, so no ranks are needed.
 * Merge: the remaining suffixes are the 50-byte strings through blocks that continue differently.
   They are named by 96 bits, sorted, and equal neighbours are compared by document.
+* Memory: equal names are compared where they arise, so that a name that most documents hold is sent
+  once for some thousand documents. A bucket of names that still is too large goes through files.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = 16
 #: Hash buckets of the exchange, at least; a task works off one bucket after the other.
-BUCKETS = 1024
+BUCKETS = 512
 #: Bytes of text in numpy arrays at once, and sampled positions held before they are sent.
 CHUNK, HELD = 1 << 20, 1 << 19
+#: Rows of a bucket in memory, and the files that a larger one is dealt over.
+MOST, PARTS = 1 << 19, 64
+#: Places that are settled before the exchange, in one blob, and rows in one batch of blobs.
+SETTLED, BATCH = 1 << 13, 1 << 16
 #: Place of rows without a doc_id: after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -56,15 +65,20 @@ class Powers:
 
     def at(self, start: np.ndarray, size: np.ndarray | int, seed: int = 0) -> np.ndarray:
         """Hashes of the windows ``[start, start + size)``."""
-        size = np.broadcast_to(np.asarray(size, np.int64), start.shape)
-        out = np.full(start.shape, seed, np.uint64) + size.astype(np.uint64)
-        place = start.astype(np.int64).copy()
+        rest = np.full(start.shape, size, np.int64)
+        out = np.full(start.shape, seed, np.uint64) + rest.astype(np.uint64)
+        place = start.astype(np.int64)
         for bit, h in reversed(list(enumerate(self.levels))):
             for _ in range(2 if bit == len(self.levels) - 1 else 1):
-                use = (size - (place - start)) >= (1 << bit)
-                if use.any():
+                use = rest >= (1 << bit)
+                if use.all():
+                    out = out * MIX2 + finish(h[place])
+                    place += 1 << bit
+                    rest -= 1 << bit
+                elif use.any():
                     out[use] = out[use] * MIX2 + finish(h[place[use]])
                     place[use] += 1 << bit
+                    rest[use] -= 1 << bit
         return finish(out)
 
 
@@ -91,41 +105,44 @@ def sample(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, Power
     return at, h[at], powers
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Bytes of the numbers, all first bytes before all second ones: high zero bytes compress away."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+#: A name (a block and its context, or a string) and its place: hashes, doc_id and text hashes, position.
+PLACE = np.dtype([("id", "i8"), ("v", "i8"), ("w", "i8"), ("pos", "u4")])
+ANCHOR = np.dtype([("a", "u8"), ("b", "u4"), ("e", "u2"), ("lh", "u1"), ("rh", "u1"), *PLACE.descr])
+STRING = np.dtype([("a", "u8"), ("b", "u4"), *PLACE.descr])
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    return b"".join(planes(np.ascontiguousarray(c)) for c in columns)
+def gathered(held: list[tuple[tuple[int, int, int], list[np.ndarray]]], kind: np.dtype, names: list[str]) -> np.ndarray:
+    """One table of the columns of several texts, which are let go."""
+    n = [len(columns[0]) for _, columns in held]
+    out = np.empty(sum(n), kind)
+    for k, name in enumerate(names):
+        out[name] = np.concatenate([columns[k] for _, columns in held])
+    for k, name in enumerate(("id", "v", "w")):
+        out[name] = np.repeat(np.array([text[k] for text, _ in held], np.int64), n)
+    held.clear()
+    return out
 
 
-def unpack(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
-    """Columns of all blobs."""
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for part, kind in zip(out, kinds, strict=True):
-            size = np.dtype(kind).itemsize
-            raw = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
-            part.append(np.ascontiguousarray(raw.T).view(kind).reshape(n))
-            at += n * size
-    return [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(out, kinds, strict=True)]
+def pack(rows: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Pieces of the rows, all first bytes before all second ones: high zero bytes compress away."""
+    flat = rows.view(np.uint8).reshape(len(rows), rows.itemsize)
+    return [flat[lo:hi].T.tobytes() for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def by_bucket(columns: list[np.ndarray], key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = [c[order] for c in columns]
-    rows = [(b, pack([c[ends[b] : ends[b + 1]] for c in columns])) for b in np.flatnonzero(np.diff(ends)).tolist()]
-    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "data"])
+def unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    """Rows of all blobs."""
+    ends = np.cumsum([0, *(len(x) // kind.itemsize for x in blobs)]).tolist()
+    out = np.empty(ends[-1], kind)
+    flat = out.view(np.uint8).reshape(len(out), kind.itemsize)
+    for blob, lo, hi in zip(blobs, ends[:-1], ends[1:], strict=True):
+        flat[lo:hi] = np.frombuffer(blob, np.uint8).reshape(kind.itemsize, hi - lo).T
+    return out
 
 
-def buckets_of(df: DataFrame) -> int:
-    """More buckets than partitions, so that a bucket shrinks where the partitions of a larger job do."""
-    return max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def second(rows: np.ndarray) -> np.ndarray:
+    """The other part of a name."""
+    b = rows["b"].astype(np.uint64)
+    return (b << np.uint64(16)) | rows["e"] if "e" in rows.dtype.names else b
 
 
 def heads(*columns: np.ndarray) -> np.ndarray:
@@ -137,17 +154,72 @@ def heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-ANCHOR = [np.uint64, np.uint32, np.uint16, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.uint32]
-STRING = [np.uint64, np.uint32, np.int64, np.int64, np.int64, np.uint32]
+def repeated(sorted_: np.ndarray) -> np.ndarray:
+    """Whether a neighbour is equal."""
+    same = sorted_[1:] == sorted_[:-1]
+    return np.r_[same, np.zeros(1, bool)] | np.r_[np.zeros(1, bool), same] if len(sorted_) else np.zeros(0, bool)
+
+
+def later(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the same name has a smaller id too."""
+    order = np.lexsort((ids, b, a))
+    start, i = heads(a[order], b[order]), ids[order]
+    out = np.empty(len(a), bool)
+    out[order] = i != np.repeat(i[start], np.diff(np.r_[start, len(a)]))
+    return out
+
+
+def by_bucket(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Names in blobs by bucket. Of an equal name only the least id has to be compared elsewhere: the
+    places of the others are settled, and spread over the buckets by themselves."""
+    # Blocks are least hashes, which are small ones, so their own bits would fill a few buckets only.
+    rows["a"] = h = finish(rows["a"])
+    order = np.argsort(h)
+    twin = order[repeated(h[order])]
+    some, gone = rows.take(twin), np.zeros(len(rows), bool)
+    gone[twin] = later(h[twin], second(some), some["id"])
+    settled, stay = rows.take(np.flatnonzero(gone)), np.flatnonzero(~gone)
+    # In the order of the documents, so that their ids compress away.
+    bucket = (((h[stay] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows.take(stay[order])
+    start = heads(bucket)
+    yield from blobs(bucket[start], False, rows, np.r_[start, len(rows)])
+    if len(settled):
+        ends = np.r_[0 : len(settled) : SETTLED, len(settled)]
+        first = settled.take(ends[:-1])
+        mix = finish(finish(first["id"].astype(np.uint64) ^ first["v"].astype(np.uint64)) + first["pos"].astype(np.uint64))
+        places_ = np.empty(len(settled), PLACE)
+        for name in PLACE.names:
+            places_[name] = settled[name]
+        yield from blobs(mix % np.uint64(buckets), True, places_, ends)
+
+
+def blobs(bucket: np.ndarray, settled: bool, rows: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Small batches: the JVM and the worker hold copies of each."""
+    step = max(1, len(bucket) * BATCH // len(rows))
+    for lo in range(0, len(bucket), step):
+        data = pack(rows, ends[lo : lo + step + 1])
+        columns = [pa.array(bucket[lo : lo + step].astype(np.int32)), pa.array([settled] * len(data), pa.bool_()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "settled", "data"])
+
+
+def buckets_of(df: DataFrame) -> int:
+    """More buckets than partitions, so that a bucket shrinks where the partitions of a larger job do."""
+    return max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 #: A text: its doc_id, and two hashes of it where rows share a doc_id or have none.
 TEXT = ["_id", "_v", "_w"]
 PLACES = "_id long, _v long, _w long, pos int, kind int"
+BLOBS = "bucket int, settled boolean, data binary"
 COVERED, OPEN, WINDOW = 0, 1, 2
 
 
-def places(ids, v, w, pos, kind: int) -> pa.Table:
-    columns = [pa.array(ids), pa.array(v), pa.array(w), pa.array(pos.astype(np.int32)), pa.array(np.full(len(ids), kind, np.int32))]
-    return pa.table(columns, names=[*TEXT, "pos", "kind"])
+def places(rows: np.ndarray, kind: int) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(rows[k])) for k in ("id", "v", "w")]
+    columns += [pa.array(rows["pos"].astype(np.int32)), pa.array(np.full(len(rows), kind, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, [*TEXT, "pos", "kind"])
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -157,14 +229,9 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     buckets = buckets_of(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[tuple[int, int, int], list[np.ndarray]]] = []
         n = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            held.clear()
-            yield from by_bucket(columns, columns[0], buckets)
-
         with np.errstate(over="ignore"):
             for batch in batches:
                 keys = [batch.column(k).to_pylist() for k in range(3)]
@@ -184,46 +251,128 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                         near_l, near_r = np.maximum(0, at - side), np.minimum(len(part), at + BLOCK + side)
                         lh = powers.at(near_l, at - near_l, 2)
                         rh = powers.at(at, near_r - at, 3)
-                        k = len(at)
-                        held.append(
-                            [g, (c >> np.uint64(32)).astype(np.uint32), c.astype(np.uint16), lh.astype(np.uint8), rh.astype(np.uint8),
-                             np.full(k, i, np.int64), np.full(k, v, np.int64), np.full(k, w, np.int64), (at + lo).astype(np.uint32)]
-                        )
-                        n += k
+                        held.append(((i, v, w), [g, c >> np.uint64(32), c, lh, rh, at + lo]))
+                        n += len(at)
                         if n >= HELD:
-                            yield from flush()
+                            yield from by_bucket(gathered(held, ANCHOR, ["a", "b", "e", "lh", "rh", "pos"]), buckets)
                             n = 0
             if held:
-                yield from flush()
+                yield from by_bucket(gathered(held, ANCHOR, ["a", "b", "e", "lh", "rh", "pos"]), buckets)
+
+    return docs.mapInArrow(work, BLOBS)
+
 
-    return docs.mapInArrow(work, "bucket int, data binary")
+def dealt(pieces: Iterable[np.ndarray], pick: Callable[[np.ndarray], np.ndarray]) -> list[BinaryIO]:
+    """Rows in temporary files, by the low bits of a hash."""
+    files = [tempfile.TemporaryFile() for _ in range(PARTS)]
+    for rows in pieces:
+        part = (pick(rows) % np.uint64(PARTS)).astype(np.uint8)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(PARTS + 1))
+        for file, lo, hi in zip(files, ends[:-1], ends[1:], strict=True):
+            file.write(rows[order[lo:hi]].tobytes())
+    return files
 
 
-def settle(blobs: DataFrame) -> DataFrame:
+def read(file: BinaryIO, kind: np.dtype, most: int) -> Iterator[np.ndarray]:
+    file.seek(0)
+    while raw := file.read(most * kind.itemsize):
+        yield np.frombuffer(raw, kind)
+
+
+def met(names: DataFrame, kind: np.dtype, late: int, decide: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], rest: bool) -> DataFrame:
+    """Places of names that a smaller id has too, as ``late``, and the places that ``decide`` leaves open.
+
+    ``decide`` gets all names of a bucket and gives (late, open) rows. A bucket of more than ``MOST`` rows
+    is dealt over files by the first part of its names; where that does not make it smaller, because
+    most rows share it, by the second part, and then all places that are not late are open with ``rest``.
+    """
+    most = MOST
+
+    def large(files: list[BinaryIO]) -> Iterator[pa.RecordBatch]:
+        for file in files:
+            if file.tell() <= most * kind.itemsize:
+                for rows in read(file, kind, most):
+                    yield from decided(rows)
+            else:
+                for part in dealt(read(file, kind, most // 4), lambda rows: finish(second(rows) + MIX)):
+                    yield from streamed(part)
+            file.close()
+
+    def streamed(file: BinaryIO) -> Iterator[pa.RecordBatch]:
+        known = np.empty(0, kind)  # the least id of each name
+        for rows in read(file, kind, most // 4):
+            known = np.r_[known, rows]
+            a, b = known["a"], second(known)
+            order = np.lexsort((known["id"], b, a))
+            known = known[order[heads(a[order], b[order])]]
+        for rows in read(file, kind, most // 4):
+            both = np.r_[known, rows]
+            gone = later(both["a"], second(both), both["id"])[len(known) :]
+            yield places(rows[gone], late)
+            if rest:
+                yield places(rows[~gone], OPEN)
+        file.close()
+
+    def decided(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # A name whose first part is alone meets nothing.
+        order = np.argsort(rows["a"])
+        for found, as_ in zip(decide(rows.take(order[repeated(rows["a"][order])])), (late, OPEN), strict=True):
+            if len(found):
+                yield places(found, as_)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[bytes] = []
+
+        def pieces() -> Iterator[np.ndarray]:
+            held: list[bytes] = []
+            n = 0
+            for batch in batches:
+                for settled, data in zip(batch.column("settled").to_pylist(), batch.column("data"), strict=True):
+                    (done if settled else held).append(data.as_py())
+                    n += 0 if settled else len(held[-1]) // kind.itemsize
+                    if n > most:
+                        yield unpack(held, kind)
+                        held.clear()
+                        n = 0
+            yield unpack(held, kind)
+
+        with np.errstate(over="ignore"):
+            all_ = pieces()
+            first = next(all_)
+            if len(first) <= most:
+                yield from decided(first)
+            else:
+                yield from large(dealt(itertools.chain([first], all_), lambda rows: finish(rows["a"])))
+        if done:
+            yield places(unpack(done, PLACE), late)
+
+    return names.groupBy("bucket").applyInArrow(work, PLACES)
+
+
+def settle(names: DataFrame) -> DataFrame:
     """Places covered by equal contexts, and places whose block continues differently elsewhere."""
 
-    def work(bucket: pa.Table) -> pa.Table:
-        g, c1, c2, lh, rh, ids, v, w, pos = unpack(bucket.column("data").to_pylist(), ANCHOR)
-        c = (c1.astype(np.uint64) << np.uint64(16)) | c2
-        order = np.lexsort((ids, c, g))
-        g, c, lh, rh, ids, v, w, pos = (a[order] for a in (g, c, lh, rh, ids, v, w, pos))
+    def decide(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = second(rows)
+        order = np.lexsort((rows["id"], c, rows["a"]))
+        rows, c = rows.take(order), c[order]
+        g, ids = np.ascontiguousarray(rows["a"]), np.ascontiguousarray(rows["id"])
         start = heads(g, c)
         size = np.diff(np.r_[start, len(g)])
-        first = ids[start]
-        later = ids != np.repeat(first, size)
-        covered = places(ids[later], v[later], w[later], pos[later], COVERED)
+        gone = ids != np.repeat(ids[start], size)
         # Contexts of one block that agree on the block and one side may share a string.
-        block = np.cumsum(np.r_[True, g[start][1:] != g[start][:-1]])
+        block = np.cumsum(np.r_[True, g[start][1:] != g[start][:-1]]) if len(g) else np.empty(0, np.int64)
 
         def shared(side: np.ndarray) -> np.ndarray:
             key = block.astype(np.int64) * 256 + side[start]
             _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
             return n[inverse] > 1
 
-        open_ = np.repeat(shared(lh) | shared(rh), size) & ~later
-        return pa.concat_tables([covered, places(ids[open_], v[open_], w[open_], pos[open_], OPEN)])
+        open_ = np.repeat(shared(rows["lh"]) | shared(rows["rh"]), size) & ~gone
+        return rows[gone], rows[open_]
 
-    return blobs.groupBy("bucket").applyInArrow(work, PLACES)
+    return met(names, ANCHOR, COVERED, decide, True)
 
 
 def strings(docs: DataFrame, length: int) -> DataFrame:
@@ -232,14 +381,9 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[tuple[int, int, int], list[np.ndarray]]] = []
         n = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            held.clear()
-            yield from by_bucket(columns, columns[0], buckets)
-
         with np.errstate(over="ignore"):
             for batch in batches:
                 keys = [batch.column(k).to_pylist() for k in range(3)]
@@ -258,30 +402,24 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
                             continue
                         powers = Powers(data[lo : lo + CHUNK + length], BLOCK * 2)
                         w1, w2 = powers.at(p - lo, length, 5), powers.at(p - lo, length, 6)
-                        same = [np.full(len(p), x, np.int64) for x in (i, v, w)]
-                        held.append([w1, w2.astype(np.uint32), *same, p.astype(np.uint32)])
+                        held.append(((i, v, w), [w1, w2, p]))
                         n += len(p)
                         if n >= HELD:
-                            yield from flush()
+                            yield from by_bucket(gathered(held, STRING, ["a", "b", "pos"]), buckets)
                             n = 0
             if held:
-                yield from flush()
+                yield from by_bucket(gathered(held, STRING, ["a", "b", "pos"]), buckets)
 
-    return docs.mapInArrow(work, "bucket int, data binary")
+    return docs.mapInArrow(work, BLOBS)
 
 
-def compared(blobs: DataFrame) -> DataFrame:
+def compared(names: DataFrame) -> DataFrame:
     """Starts of strings that also start in a document with a smaller id."""
 
-    def work(bucket: pa.Table) -> pa.Table:
-        w1, w2, ids, v, w, pos = unpack(bucket.column("data").to_pylist(), STRING)
-        order = np.lexsort((ids, w2, w1))
-        w1, w2, ids, v, w, pos = (a[order] for a in (w1, w2, ids, v, w, pos))
-        start = heads(w1, w2)
-        later = ids != np.repeat(ids[start], np.diff(np.r_[start, len(w1)]))
-        return places(ids[later], v[later], w[later], pos[later], WINDOW)
+    def decide(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rows[later(rows["a"], second(rows), rows["id"])], rows[:0]
 
-    return blobs.groupBy("bucket").applyInArrow(work, PLACES)
+    return met(names, STRING, WINDOW, decide, False)
 
 
 def zipped(docs: DataFrame) -> DataFrame:

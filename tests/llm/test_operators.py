@@ -60,6 +60,36 @@ def test_substrings_of_texts_under_one_id_or_none(spark, documents, doc_id):
     assert sorted(((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def sent_rows(docs, kind):
+    return [(r.bucket, len(r.data) // kind.itemsize) for r in docs.where("not settled").collect()]
+
+
+def test_blocks_are_spread_evenly_over_the_buckets(spark, documents):
+    docs = documents([(i, prose(i, 400)) for i in range(100)]).selectExpr("doc_id _id", "0L _v", "0L _w", "text _t")
+    rows = sent_rows(substring_dedup.anchors(docs, 50), substring_dedup.ANCHOR)
+    by_bucket = np.bincount([b for b, _ in rows], [n for _, n in rows], substring_dedup.buckets_of(docs))
+    assert by_bucket.sum() > 5000 and by_bucket.max() < 6 * by_bucket.mean()
+
+
+def test_a_name_of_many_documents_is_sent_once_for_a_part_of_them(spark, documents):
+    shared = prose(1, 60)
+    docs = documents([(i, shared) for i in range(300)]).coalesce(1).selectExpr("doc_id _id", "0L _v", "0L _w", "text _t")
+    once = sent_rows(substring_dedup.anchors(docs.where("_id = 0"), 50), substring_dedup.ANCHOR)
+    assert sum(n for _, n in sent_rows(substring_dedup.anchors(docs, 50), substring_dedup.ANCHOR)) == sum(n for _, n in once)
+
+
+def test_large_buckets_give_the_same_rows_as_small_ones(spark, documents, monkeypatch):
+    # A hot passage in unlike and in equal contexts, under ids that repeat and without any.
+    hot, same = "x" * 20 + prose(2, 12), prose(3, 60)
+    rows = [(None if i % 7 == 0 else i // 2, f"{prose(i, 30)}{hot}{prose(i + 1000, 20)}{same if i % 3 == 0 else ''}") for i in range(300)]
+    run = lambda: sorted(map(tuple, substring_dedup.substring_dedup(documents(rows)).drop("kept").collect()), key=repr)
+    want = run()
+    assert sum(r[2] for r in want) > 300 * len(hot) // 2
+    monkeypatch.setattr(substring_dedup, "BUCKETS", 2)
+    monkeypatch.setattr(substring_dedup, "MOST", 40)
+    assert run() == want
+
+
 def test_token_counts_equal_the_library(spark, documents):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
